@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from .common import small_batches
 
@@ -40,25 +41,32 @@ _ROWS = 500
 
 
 class WordCoder:
-    """Ids of whole texts by a tokenizer that drops white space: words between
-    white space are coded one by one and remembered, as bytes of little-endian
-    unsigned 32-bit ids. Words of plain Latin letters and ASCII signs are cut by
-    the tokenizer's own split pattern and their pieces handed to its BPE model;
-    all others, and texts with the control signs that only Python takes for white
+    """Ids of whole texts by a tokenizer that drops white space, as bytes of
+    little-endian unsigned 32-bit ids: words between white space are coded once and
+    remembered. Words of plain Latin letters and ASCII signs are cut by the
+    tokenizer's own split pattern; the runs of letters that a batch brings anew go
+    to its BPE model together, a sign that letters can't yield between them. All
+    other words, and texts with the control signs that only Python takes for white
     space, go through the whole tokenizer."""
 
     #: The split pattern of the tokenizer file.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Runs of letters that one call codes.
+    TOGETHER = 200
+    #: Longer words aren't remembered.
+    LONG = 64
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.between = self.bare.encode("!", add_special_tokens=False).ids[0]
         self.split = regex.compile(self.SPLIT)
         self.plain = re.compile("[!-~À-ɏ]+").fullmatch
         self.odd = re.compile("[\x1c-\x1f]").search
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.bytes_as = self._byte_signs()
+        self.bytes_as = dict(enumerate(self._byte_signs()))
 
     @staticmethod
     def _byte_signs() -> list[str]:
@@ -77,37 +85,51 @@ class WordCoder:
     def _raw(ids) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            signs = part if part.isascii() else "".join(self.bytes_as[b] for b in part.encode())
-            got = self._raw(self.bare.encode(signs, add_special_tokens=False).ids)
-            if len(part) < 64:
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                self.parts[part] = got
-        return got
-
-    def _word(self, word: str) -> bytes:
-        if self.plain(word) and "<|" not in word:
-            got = b"".join(map(self._part, self.split.findall(word.lower())))
-        else:
-            got = self._raw(self.whole.encode(word, add_special_tokens=False).ids)
-        if len(word) < 64:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if self.odd(text):
-            return self._raw(self.whole.encode(text, add_special_tokens=False).ids)
-        words = text.split()
-        get, out = self.words.get, []
-        for w in words:
-            got = get(w)
-            out.append(self._word(w) if got is None else got)
-        return b"".join(out)
+    def _signs(self, part: str) -> str:
+        return part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes_as)
+
+    def _parts_of(self, word: str) -> list[str] | None:
+        """A word's runs as the split pattern cuts them; None for odd words."""
+        if not self.plain(word) or "<|" in word:
+            return None
+        if word.isalpha():
+            return [word.lower()]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1]]
+        return self.split.findall(word.lower())
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        letters = [p for p in parts if p.isalpha()]
+        groups = [letters[at : at + self.TOGETHER] for at in range(0, len(letters), self.TOGETHER)]
+        texts = [" ! ".join(map(self._signs, g)) for g in groups]
+        for group, got in zip(groups, self.bare.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.between)).tolist()
+            for part, start, end in zip(group, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)]):
+                self.parts[part] = raw[start:end]
+        for part in parts:
+            if not part.isalpha():
+                self.parts[part] = self._raw(self.bare.encode(self._signs(part), add_special_tokens=False).ids)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        for known in (self.words, self.parts):
+            if len(known) > REMEMBERED:
+                known.clear()
+        odd = {i: self._raw(self.whole.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if self.odd(t)}
+        split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
+        new = {w: None for ws in split for w in set(ws).difference(self.words)}
+        cut = {w: self._parts_of(w) for w in new}
+        self._learn_parts(list({p for ps in cut.values() if ps for p in ps}.difference(self.parts)))
+        for w, ps in cut.items():
+            self.words[w] = self._raw(self.whole.encode(w, add_special_tokens=False).ids) if ps is None else b"".join([self.parts[p] for p in ps])
+        out = [odd[i] if i in odd else b"".join(map(self.words.__getitem__, ws)) for i, ws in enumerate(split)]
+        for w, ps in cut.items():
+            if len(w) > self.LONG:
+                del self.words[w]
+                for p in ps or ():
+                    if len(p) > self.LONG:
+                        self.parts.pop(p, None)
+        return out
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -255,8 +277,9 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WI
             return out
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                note(packer.add(doc, own.encode(text or "") + end))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, raw in zip(b.column(0).to_pylist(), own.encode_batch(texts)):
+                note(packer.add(doc, raw + end))
                 if len(rows) >= _ROWS:
                     yield batch()
         sequences = packer.finish()
