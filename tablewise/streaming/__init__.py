@@ -1,0 +1 @@
+"""Nothing yet: both sides of a comparison are finite tables."""
