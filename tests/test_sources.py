@@ -1,0 +1,81 @@
+import pandas as pd
+import pytest
+
+from tablewise import CompareSettings, SourceOptions, compare
+from tablewise.sources import open_source
+
+
+@pytest.fixture
+def table(spark):
+    return spark.createDataFrame([(1, 2, "x"), (2, 3, "y")], "id long, a long, s string")
+
+
+def _write(table, folder):
+    folder.mkdir(parents=True, exist_ok=True)
+    table.toPandas().to_parquet(folder / "part-0.parquet")
+    return folder / "part-0.parquet"
+
+
+def test_file_folder_and_glob(spark, table, tmp_path):
+    f = _write(table, tmp_path / "d")
+    _write(table, tmp_path / "d" / "sub")
+    for hidden in ("_temp.parquet", ".hidden/x.parquet"):
+        (tmp_path / "d" / hidden).parent.mkdir(exist_ok=True)
+        (tmp_path / "d" / hidden).write_bytes(b"no parquet")
+    upper = tmp_path / "X.PARQUET"
+    upper.write_bytes(f.read_bytes())
+    count = lambda p, **o: open_source(p, SourceOptions(**o), spark).count()
+    assert count(f) == 2 and count(str(upper)) == 2
+    assert count(tmp_path / "d") == 4 and count(tmp_path / "d", recursive=False) == 2
+    assert count(f"{tmp_path}/d/part*.parquet") == 2 and count(f"{tmp_path}/d/**/part*.parquet") == 4
+
+
+def test_errors(spark, tmp_path):
+    with pytest.raises(TypeError, match="Unsupported source type"):
+        open_source(3, spark=spark)
+    with pytest.raises(FileNotFoundError):
+        open_source(tmp_path / "none.parquet", spark=spark)
+    with pytest.raises(FileNotFoundError):
+        open_source(f"{tmp_path}/*.parquet", spark=spark)
+    (tmp_path / "a.txt").write_text("id;v\n1;2\n")
+    with pytest.raises(ValueError, match="SourceOptions.format"):
+        open_source(tmp_path / "a.txt", spark=spark)
+    with pytest.raises(FileNotFoundError):
+        open_source(tmp_path, spark=spark)
+    got = open_source(tmp_path / "a.txt", SourceOptions(format="csv", csv_separator=";"), spark)
+    assert got.dtypes == [("id", "bigint"), ("v", "bigint")] and got.count() == 1
+
+
+def test_csv_types(spark, tmp_path):
+    f = tmp_path / "a.csv"
+    f.write_text("id,x,d,s\n1,1.5,2024-01-01,a\n2,2.5,2024-01-02,b\n")
+    assert open_source(f, spark=spark).dtypes == [("id", "bigint"), ("x", "double"), ("d", "string"), ("s", "string")]
+    assert {t for _, t in open_source(f, SourceOptions(csv_infer_schema_length=0), spark).dtypes} == {"string"}
+    assert open_source(f, SourceOptions(csv_infer_schema_length=None), spark).count() == 2
+
+
+def test_late_surprise_in_csv_fails(spark, tmp_path):
+    f = tmp_path / "a.csv"
+    f.write_text("id,x\n1,1\n2,oops\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|oops"):
+        open_source(f, SourceOptions(csv_infer_schema_length=1), spark).collect()
+
+
+def test_parquet_against_csv(spark, table, tmp_path):
+    f = _write(table, tmp_path / "p")
+    table.toPandas().to_csv(tmp_path / "t.csv", index=False)
+    assert compare(f, tmp_path / "t.csv", CompareSettings(join_columns=["id"]), spark=spark).is_match
+
+
+def test_mixed_folder_warns(spark, table, tmp_path):
+    _write(table, tmp_path / "m")
+    table.toPandas().to_csv(tmp_path / "m" / "t.csv", index=False)
+    notes = []
+    assert open_source(tmp_path / "m", spark=spark, warnings=notes).count() == 2 and notes
+
+
+def test_sas_needs_readable_file(spark, tmp_path):
+    (tmp_path / "a.xpt").write_bytes(b"nothing")
+    with pytest.raises(Exception):
+        open_source(tmp_path / "a.xpt", spark=spark).count()
+    assert pd.__version__
