@@ -166,7 +166,7 @@ class Packer:
         size, w = len(piece[2]) // 4, self.window
         # half the change of the sum of squares, for fill h = 1 .. w - size
         fill = self.levels[1 : w - size + 1]
-        change = np.where(fill > 0, self.levels[1 + size : w + 1] - fill + 1, np.iinfo(np.int64).max)
+        change = np.where(fill > 0, self.levels[1 + size : w + 1] - fill + 1, 1 << 60)
         if len(change):  # a window that gets full leaves the sum: half of one less
             change = change * 2
             if fill[-1] > 0:

@@ -1,0 +1,61 @@
+"""The queries against SQL, and the pipeline's stages one after the other."""
+
+import collections
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from tablewise.llm import queries, simhash
+from tablewise.llm.common import materialise, table
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_agrees_with_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    said = c.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    assert columns == sorted(said.columns)
+    want = sorted((tuple(r[said.columns.index(x)] for x in columns) for r in said.fetchall()), key=str)
+    assert sorted((tuple(r[x] for x in columns) for r in df.collect()), key=str) == want
+
+
+def test_stages(spark):
+    docs = table(spark, SF, "documents")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "test-stage")
+        seen.append(docs)
+        assert docs.columns == columns or name == "packing"
+    quality, lines, near, scan, packed = seen
+    labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
+    kept = {r.doc_id for r in quality.select("doc_id").collect()}
+    good, bad = [i for i in labels if labels[i]], [i for i in labels if not labels[i]]
+    assert sum(i in kept for i in good) > 0.97 * len(good) and sum(i in kept for i in bad) < 0.1 * len(bad)
+    assert lines.count() == quality.count()
+    # one document of each class of near copies
+    of = {r.id: r.component_id for r in simhash.cluster(lines).collect()}
+    assert sorted(r.doc_id for r in near.select("doc_id").collect()) == sorted(set(of.values()))
+    assert scan.count() == near.count() and scan.filter("text rlike 'token = \"[0-9a-f]{40}|AKIA[A-Z2-7]{16}'").count() == 0
+    assert scan.filter("char_length(text) <> n_chars").count() == 0
+    by = collections.defaultdict(list)
+    for r in packed.collect():
+        by[r.doc_id].append((r.start, r.length, r.doc_tokens))
+    assert by.keys() == {r.doc_id for r in scan.select("doc_id").collect()}
+    for pieces in by.values():
+        at = 0
+        for start, length, total in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == total
+
+
+@pytest.mark.parametrize("index", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_no_rows(spark, index):
+    docs = table(spark, SF, "documents").limit(0)
+    assert corpus_pipeline.STAGES[index][1](spark, docs, SF).count() == 0
