@@ -25,10 +25,9 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half go. It learns from all
-    labelled documents, whose statistics alone are kept."""
+    labelled documents. Only statistics meet the labels, so no text is shuffled."""
     labels = table(spark, sf_dir, "labels")
-    known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = kernelscore.fit(materialise(kernelscore.describe(known), "quality-stats"), labels)
+    model = kernelscore.fit(materialise(kernelscore.describe(docs), "quality-stats"), labels)
     return _as_documents(kernelscore.score_texts(docs, model).filter(F.col("score") >= 0.5), docs)
 
 
