@@ -274,6 +274,13 @@ def dedup(docs: DataFrame, size: int = 3, max_bits: int = 3, text_col: str = "te
     one document, so rows that repeat it fold into one. Rows with a null id
     can't be named and all stay."""
     own = cluster(docs, size, max_bits, text_col, id_col)
-    keep = own.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__tw_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("__tw_keep"), "left_semi").dropDuplicates([id_col])
+    keep = own.filter(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("__tw_keep")).agg(F.count("*").alias("n"))
+    keep = materialise(keep, "simhash-kept")
+
+    def held(ids):  # texts are shuffled once and never sorted; only ids are hashed
+        return docs.join(ids.hint("shuffle_hash"), docs[id_col] == F.col("__tw_keep"), "left_semi")
+
+    kept = held(keep.filter("n = 1"))
+    if not keep.filter("n > 1").isEmpty():
+        kept = kept.unionByName(held(keep.filter("n > 1")).dropDuplicates([id_col]))
     return kept.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
