@@ -23,7 +23,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,26 +33,31 @@ from .common import small_batches
 
 WINDOW = 2048
 MAX_OPEN = 8192
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words, and runs of letters, whose ids a worker remembers.
+REMEMBERED = 800_000
 #: Rows of one Arrow batch of pieces.
 _ROWS = 500
 
 
 class WordCoder:
     """Ids of whole texts by a tokenizer that drops white space, as bytes of
-    little-endian unsigned 32-bit ids: words between white space are coded once and
-    remembered. Words of plain Latin letters and ASCII signs are cut by the
-    tokenizer's own split pattern; the runs of letters that a batch brings anew go
-    to its BPE model together, a sign that letters can't yield between them. All
-    other words, and texts with the control signs that only Python takes for white
-    space, go through the whole tokenizer."""
-
-    #: The split pattern of the tokenizer file.
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    little-endian unsigned 32-bit ids. Texts of plain Latin letters, ASCII signs and
+    white space are cut by the tokenizer's own split pattern at once; the runs of
+    letters that a batch brings anew go to its BPE model together, a sign that
+    letters can't yield between them, and are remembered. Other texts are cut at
+    white space first, and only their words that aren't plain go through the whole
+    tokenizer, as do texts with the control signs that only Python takes for white
+    space."""
+
+    #: The split pattern of the tokenizer file, for lower-cased plain
+    #: signs. Plain letters are those that Python lower-cases to one plain letter.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[!-/:-@\[-`{-~×÷]+"
+    PLAIN = "[\t-\r -~À-įı-ž]*"
+    #: Characters that are cut into runs at once.
+    AT_ONCE = 2_000_000
     #: Runs of letters that one call codes.
     TOGETHER = 200
-    #: Longer words aren't remembered.
+    #: Longer words and runs aren't remembered.
     LONG = 64
 
     def __init__(self, path: str):
@@ -61,8 +65,8 @@ class WordCoder:
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = WhitespaceSplit()
         self.between = self.bare.encode("!", add_special_tokens=False).ids[0]
-        self.split = regex.compile(self.SPLIT)
-        self.plain = re.compile("[!-~À-ɏ]+").fullmatch
+        self.split = re.compile(self.SPLIT).findall
+        self.plain = re.compile(self.PLAIN).fullmatch
         self.odd = re.compile("[\x1c-\x1f]").search
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -88,15 +92,12 @@ class WordCoder:
     def _signs(self, part: str) -> str:
         return part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes_as)
 
-    def _parts_of(self, word: str) -> list[str] | None:
-        """A word's runs as the split pattern cuts them; None for odd words."""
-        if not self.plain(word) or "<|" in word:
-            return None
-        if word.isalpha():
-            return [word.lower()]
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return [word[:-1].lower(), word[-1]]
-        return self.split.findall(word.lower())
+    def _parts_of(self, text: str) -> list[str] | None:
+        """A text's runs as the split pattern cuts them; None for odd texts."""
+        return self.split(text.lower()) if self.plain(text) and "<|" not in text else None
+
+    def _by_whole(self, text: str) -> bytes:
+        return self._raw(self.whole.encode(text, add_special_tokens=False).ids)
 
     def _learn_parts(self, parts: list[str]) -> None:
         letters = [p for p in parts if p.isalpha()]
@@ -112,23 +113,48 @@ class WordCoder:
                 self.parts[part] = self._raw(self.bare.encode(self._signs(part), add_special_tokens=False).ids)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; long ones are cut at spaces, where every run ends."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush():
+            for (i, _), raw in zip(held, self._encode([t for _, t in held])):
+                out[i].append(raw)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = text.find(" ", at + self.AT_ONCE) if len(text) - at > self.AT_ONCE else -1
+                end = end if end >= 0 else len(text)
+                held.append((i, text[at:end]))
+                size, at = size + end - at, end
+                if size >= self.AT_ONCE:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         for known in (self.words, self.parts):
             if len(known) > REMEMBERED:
                 known.clear()
-        odd = {i: self._raw(self.whole.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if self.odd(t)}
-        split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        new = {w: None for ws in split for w in set(ws).difference(self.words)}
-        cut = {w: self._parts_of(w) for w in new}
-        self._learn_parts(list({p for ps in cut.values() if ps for p in ps}.difference(self.parts)))
-        for w, ps in cut.items():
-            self.words[w] = self._raw(self.whole.encode(w, add_special_tokens=False).ids) if ps is None else b"".join([self.parts[p] for p in ps])
-        out = [odd[i] if i in odd else b"".join(map(self.words.__getitem__, ws)) for i, ws in enumerate(split)]
-        for w, ps in cut.items():
-            if len(w) > self.LONG:
-                del self.words[w]
-                for p in ps or ():
-                    if len(p) > self.LONG:
-                        self.parts.pop(p, None)
+        cut = [self._parts_of(t) for t in texts]
+        split = [None if ps is not None or self.odd(t) else t.split() for t, ps in zip(texts, cut)]
+        new = {w: self._parts_of(w) for w in {w for ws in split if ws for w in ws}.difference(self.words)}
+        some = {p for ps in (*cut, *new.values()) if ps for p in ps}.difference(self.parts)
+        self._learn_parts(list(some))
+        for w, ps in new.items():
+            self.words[w] = self._by_whole(w) if ps is None else b"".join(map(self.parts.__getitem__, ps))
+        out = []
+        for t, ps, ws in zip(texts, cut, split):
+            known, keys = (self.parts, ps) if ps is not None else (self.words, ws)
+            out.append(self._by_whole(t) if keys is None else b"".join(map(known.__getitem__, keys)))
+        for known, keys in ((self.parts, some), (self.words, new)):
+            for k in keys:
+                if len(k) > self.LONG:
+                    del known[k]
         return out
 
 

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -274,6 +275,19 @@ def test_packing(odd, none, clash, window):
     assert packing.pack(none, path).count() == 0 and packing.pack(clash, path).select("doc_id").distinct().count() == 2
 
 
+@pytest.mark.parametrize("at_once", [25, 2_000_000])
+def test_word_coder_agrees_with_the_tokenizer(at_once):
+    path = public_tokenizers.path(queries.WORD_FILE)
+    whole, own, rng = Tokenizer.from_file(path), packing.WordCoder(path), random.Random(3)
+    own.AT_ONCE = at_once
+    plain = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xC0, 0x180)]]
+    wild = [*plain, *map(chr, range(0x180, 0x250)), *"İıſΣςσ中日\u0301\u0307’“—\xa0\u2003\x85\x1c\x00😀½²٣", "<|endoftext|>", "<|", "'s", "'LL", " 'RE"]
+    texts = ["", "a" * 300, "1" * 100, "İx", "É'S'LL't"]
+    texts += ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for alphabet in (plain, wild) for _ in range(1500)]
+    for text, raw in zip(texts, own.encode_batch(texts)):
+        assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_placement_minimises_the_sum_of_squares():
     rng, w = random.Random(5), 20
     p = packing.Packer(w, max_open=10**9)
