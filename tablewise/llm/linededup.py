@@ -10,8 +10,11 @@ joined. A probe hits if slot and fingerprint agree, which a foreign line does
 with a chance of about 2**-64 for each probe.
 
 The index is broadcast in parts of at most ``part_keys`` keys (24 bytes each and
-the hash's bits). If it has more parts than one, the documents are rewritten once
-a part, so neither a worker nor the driver ever holds more than a part.
+the hash's bits), so neither a worker nor the driver ever holds more than a part.
+An index of one part is probed while the documents are rewritten. One of more
+parts is probed by narrow rows of (id, hash of the text, line hashes), dealt out by
+part and salted by document: each part reads its own rows only, and the hits then
+meet the documents in one join. Work so grows with the lines, whatever the parts.
 
 Null or empty texts are one empty line, and a null text stays null. A row with a
 null id never is the keeper while another row has an id; if none has, no row
@@ -22,6 +25,7 @@ empty results; columns named ``n_lines`` and ``n_dropped`` are replaced.
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,43 +163,48 @@ def _part(rows) -> list[Shard]:
     return [Shard(*(x[own == s] for x in (h1, h2, n, keeper))) for s in range(shards)]
 
 
-def _drop(docs: DataFrame, shards, min_chars: int, text_col: str, id_col: str) -> DataFrame:
-    """One pass over the documents: dropped lines go, ``__tw_dropped`` counts them."""
-    # A line that goes is gone for later parts; a key is in one part only.
+def _split(texts: list[str | None], min_chars: int):
+    """The lines of each text, and where the long enough ones are: (text, line)
+    pairs and their hashes as two unsigned columns."""
+    split = [t.encode().split(b"\n") if t else [] for t in texts]
+    where, digests = [], []
+    for i, lines in enumerate(split):
+        for j, line in enumerate(lines):
+            if len(line) >= min_chars and _long_enough(k := line_key(line), min_chars):
+                where.append((i, j))
+                digests.append(_hashes(k))
+    pairs = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+    return split, where, pairs
+
+
+def _hits(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, index: list[Shard]) -> np.ndarray:
+    """Whether each line goes: its key is indexed, and kept by another id."""
+    out, own = np.zeros(len(h1), bool), h1 % np.uint64(len(index))
+    for s, shard in enumerate(index):
+        mine = np.flatnonzero(own == s)
+        if len(mine):
+            found, keeper = shard.probe(h1[mine], h2[mine])
+            out[mine] = found & ((keeper == _NO_ID) | (keeper != ids[mine]))
+    return out
+
+
+def _rewrite(docs: DataFrame, decide, min_chars: int, text_col: str) -> DataFrame:
+    """One pass over the documents: lines that go are dropped, ``__tw_gone`` counts
+    them. ``decide`` tells which go from a batch, (text, line) pairs and hashes."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__tw_gone", T.LongType())])
-    at_text, at_id = docs.columns.index(text_col), docs.columns.index(id_col)
-
-    def hits(h1, h2, ids, index):
-        out, own = np.zeros(len(h1), bool), h1 % np.uint64(len(index))
-        for s, shard in enumerate(index):
-            mine = np.flatnonzero(own == s)
-            if len(mine):
-                found, keeper = shard.probe(h1[mine], h2[mine])
-                out[mine] = found & ((keeper == _NO_ID) | (keeper != ids[mine]))
-        return out
+    at_text = docs.columns.index(text_col)
 
     def run(batches):
-        index = shards.value
         for b in batches:
-            texts, ids = b.column(at_text).to_pylist(), b.column(at_id).to_pylist()
-            split = [t.encode().split(b"\n") if t else [] for t in texts]
-            where, digests, of = [], [], []
-            for i, lines in enumerate(split):
-                for j, line in enumerate(lines):
-                    if len(line) >= min_chars and _long_enough(k := line_key(line), min_chars):
-                        where.append((i, j))
-                        digests.append(_hashes(k))
-                        of.append(_NO_ID if ids[i] is None else ids[i])
+            texts = b.column(at_text).to_pylist()
+            split, where, pairs = _split(texts, min_chars)
             gone = [0] * len(texts)
-            if where:
-                pairs = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
-                changed = set()
-                for x in np.flatnonzero(hits(pairs[:, 0], pairs[:, 1], np.array(of, np.int64), index)):
-                    i, j = where[x]
-                    split[i][j] = None
-                    gone[i] += 1
-                    changed.add(i)
-                for i in changed:
+            for x in np.flatnonzero(decide(b, where, pairs)) if where else ():
+                i, j = where[x]
+                split[i][j] = None
+                gone[i] += 1
+            for i, n in enumerate(gone):
+                if n:
                     texts[i] = b"\n".join(x for x in split[i] if x is not None).decode()
             arrays = list(b.columns)
             arrays[at_text] = pa.array(texts, pa.string())
@@ -204,6 +213,61 @@ def _drop(docs: DataFrame, shards, min_chars: int, text_col: str, id_col: str) -
     return docs.mapInArrow(run, schema)
 
 
+def _drop_by_index(docs: DataFrame, shards, min_chars: int, text_col: str, id_col: str) -> DataFrame:
+    """Documents probe a broadcast index of one part."""
+    at_id = docs.columns.index(id_col)
+
+    def decide(b, where, pairs):
+        ids = [_NO_ID if x is None else x for x in b.column(at_id).to_pylist()]
+        return _hits(pairs[:, 0], pairs[:, 1], np.array([ids[i] for i, _ in where], np.int64), shards.value)
+
+    return _rewrite(docs, decide, min_chars, text_col)
+
+
+def _drop_by_parts(docs: DataFrame, keys: DataFrame, parts: int, min_chars: int, text_col: str, id_col: str) -> DataFrame:
+    """Lines' hashes probe the parts one after the other. Rows of equal id and text
+    share their hits."""
+    spark = docs.sparkSession
+    part = F.pmod(F.xxhash64("h2"), F.lit(parts)).cast("int")
+    own_id = F.coalesce(F.col(f"`{id_col}`"), F.lit(_NO_ID))
+    own_text = F.xxhash64(F.col(f"`{text_col}`"))
+
+    def probes(batches):
+        for b in batches:
+            _, where, pairs = _split(b.column(2).to_pylist(), min_chars)
+            of = pa.array([i for i, _ in where], pa.int64())
+            cols = [b.column(0).take(of), b.column(1).take(of), *(pa.array(pairs[:, x].view(np.int64)) for x in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "own", "h1", "h2"])
+
+    def probe(batches):
+        for b in batches:
+            h1, h2 = (b.column(x).to_numpy().view(np.uint64) for x in (2, 3))
+            go = pa.array(_hits(h1, h2, b.column(0).to_numpy(), index.value))
+            yield pa.RecordBatch.from_arrays([b.column(x).filter(go) for x in range(3)], names=["id", "own", "h1"])
+
+    dealt = keys.withColumn("part", part)
+    keys = materialise(dealt.repartition("part"), "line-parts", by="part")
+    rows = docs.select(own_id.alias("id"), own_text.alias("own"), F.col(f"`{text_col}`")).mapInArrow(probes, "id long, own long, h1 long, h2 long")
+    salt = F.pmod(F.xxhash64("id", "own"), F.lit(64))
+    rows = materialise(rows.withColumn("part", part).repartition("part", salt), "line-probes", by="part")
+    found = []
+    for p in range(parts):
+        index = spark.sparkContext.broadcast(_part(keys.filter(F.col("part") == p)))
+        asked = rows.filter(F.col("part") == p).select("id", "own", "h1", "h2")
+        found.append(materialise(asked.mapInArrow(probe, "id long, own long, h1 long"), "line-hits"))
+        index.destroy()
+    hits = reduce(DataFrame.unionAll, found).groupBy(F.col("id").alias("__tw_id"), F.col("own").alias("__tw_own")).agg(F.collect_set("h1").alias("__tw_hits"))
+    on = (own_id == F.col("__tw_id")) & (own_text == F.col("__tw_own"))
+    met = docs.join(hits.hint("shuffle_hash"), on, "left").drop("__tw_id", "__tw_own")
+    at_hits = met.columns.index("__tw_hits")
+
+    def decide(b, where, pairs):
+        sets = [set(x or ()) for x in b.column(at_hits).to_pylist()]
+        return [h in sets[i] for (i, _), h in zip(where, pairs[:, 0].view(np.int64).tolist())]
+
+    return _rewrite(met, decide, min_chars, text_col).drop("__tw_hits")
+
+
 def dedup_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, text_col: str = "text", id_col: str = "doc_id", part_keys: int = PART_KEYS
 ) -> DataFrame:
@@ -216,12 +280,9 @@ def dedup_lines(
     text = F.col(f"`{text_col}`")
     out = docs.withColumn(text_col, text.cast("string")).withColumn(id_col, F.col(f"`{id_col}`").cast("long"))
     out = out.withColumn("__tw_all", F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    out = out.withColumn("__tw_all", F.coalesce(F.col("__tw_all"), F.lit(1)).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
-    parts = max(1, -(-total // part_keys))
-    for p in range(parts):
-        rows = keys.filter(F.pmod(F.xxhash64("h2"), F.lit(parts)) == p)
-        out = _drop(out, spark.sparkContext.broadcast(_part(rows)), min_chars, text_col, id_col)
-        out = out.withColumn("n_dropped", F.col("n_dropped") + F.col("__tw_gone")).drop("__tw_gone")
-        if p + 1 < parts:
-            out = materialise(out, "line-pass")
-    return out.withColumnRenamed("__tw_all", "n_lines")
+    out = out.withColumn("__tw_all", F.coalesce(F.col("__tw_all"), F.lit(1)).cast("long"))
+    if total <= part_keys:
+        out = _drop_by_index(out, spark.sparkContext.broadcast(_part(keys)), min_chars, text_col, id_col)
+    else:
+        out = _drop_by_parts(out, keys, -(-total // part_keys), min_chars, text_col, id_col)
+    return out.withColumnsRenamed({"__tw_all": "n_lines", "__tw_gone": "n_dropped"})
