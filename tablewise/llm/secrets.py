@@ -41,6 +41,9 @@ DEPTH = 6
 #: Labelled findings that are made where none are given.
 FINDINGS = 6_000
 THRESHOLD = 0.5
+#: Lengths that are added up at once.
+_BLOCK = 64
+_INTERNAL = [f"__tw_{x}" for x in ("all", "gaps", "placed", "heads", "found", "steps", "sums", "offsets", "places", "held")]
 
 #: Frequent pieces of words in four languages.
 WORD_PIECES = (
@@ -189,46 +192,83 @@ def score(trees, value) -> Column:
     return reduce(add, [_vote(_folded(t), value) for t in trees]) / F.lit(float(len(trees)))
 
 
-def findings(docs: DataFrame, trees, text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """``docs`` with ``findings``: an array of (value, position, occurrences,
-    score), one for each different candidate of a text, in order."""
-    docs = without(docs, "findings", "__tw_found")
+def _judged(docs: DataFrame, trees, text_col: str, path_col: str | None) -> DataFrame:
+    """``docs`` with internal arrays: all candidates in order, the text between
+    them, (value, at) sorted, and the judged ones (at, value, k, occurrences, score),
+    where ``at`` counts candidates from 0 and ``k`` is the place in the sorted array.
+    Each step names its arrays more than once, so that none is computed again for
+    each element; the work is that of sorting the candidates, however many."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
-    found = docs.select(*own, F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)).alias("__tw_found"))
-    around = lambda v: F.concat(F.lit(f"(?<![{KEY_SIGNS}])\\Q"), v, F.lit(f"\\E(?![{KEY_SIGNS}])"))
-    all_ = F.col("__tw_found")
-    placed = F.transform(
-        F.array_distinct(all_),
-        lambda v: F.struct(v.alias("value"), F.regexp_instr(text, around(v)).alias("position"), F.size(F.filter(all_, lambda x: x == v)).alias("occurrences")),
-    )
-    some = F.size(all_) > 0
-    step = found.select(*own, F.when(some, placed).alias("__tw_found"))
-
-    def described(c):
-        start = F.greatest(c["position"] - BEFORE, F.lit(1))
-        before = F.substr(text, start, c["position"] - start)
-        return F.struct(c["value"].alias("value"), c["position"].alias("position"), c["occurrences"].alias("occurrences"), F.array(*features(c["value"], before, path)).alias("f"))
-
-    step = step.select(*own, F.transform("__tw_found", described).alias("__tw_found"))
-    judged = F.transform(
-        "__tw_found",
-        lambda c: F.struct(c["value"].alias("value"), c["position"].alias("position"), c["occurrences"].alias("occurrences"), score(trees, lambda i: F.element_at(c["f"], i + 1)).alias("score")),
-    )
-    nothing = F.array().cast("array<struct<value:string,position:int,occurrences:int,score:double>>")
-    return step.select(*own, F.coalesce(judged, nothing).alias("findings"))
+    every, gaps, placed, heads = (F.col(f"__tw_{x}") for x in ("all", "gaps", "placed", "heads"))
+    some = F.size(every) > 0
+    step = docs.select(*own, F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)).alias("__tw_all"))
+    pairs = F.transform(every, lambda v, i: F.struct(v.alias("value"), i.alias("at")))
+    step = step.select(*own, every, F.when(some, F.split(text, PATTERN, -1)).alias("__tw_gaps"), F.when(some, F.array_sort(pairs)).alias("__tw_placed"))
+    # the first place of each different value
+    marked = F.transform(placed, lambda x, k: F.struct(x["value"].alias("value"), x["at"].alias("at"), k.alias("k"), F.get(placed, k - 1)["value"].eqNullSafe(x["value"]).alias("again")))
+    step = step.select(*own, every, gaps, placed, F.filter(marked, lambda x: ~x["again"]).alias("__tw_heads"))
+
+    def surrounded(x, j):
+        parts = (F.get(every, x["at"] - 2), F.get(gaps, x["at"] - 1), F.get(every, x["at"] - 1), F.get(gaps, x["at"]))
+        before = F.right(F.concat(*[F.coalesce(t, F.lit("")) for t in parts]), F.lit(BEFORE))
+        upto = F.coalesce(F.get(heads, j + 1)["k"], F.size(every))
+        return F.struct(x["at"].alias("at"), x["value"].alias("value"), x["k"].alias("k"), (upto - x["k"]).alias("occurrences"), before.alias("before"))
+
+    kept = ("at", "value", "k", "occurrences")
+    described = F.transform(F.transform(heads, surrounded), lambda c: F.struct(*[c[x].alias(x) for x in kept], F.array(*features(c["value"], c["before"], path)).alias("f")))
+    step = step.select(*own, every, gaps, placed, described.alias("__tw_found"))
+    scored = F.transform("__tw_found", lambda c: F.struct(*[c[x].alias(x) for x in kept], score(trees, lambda i: F.element_at(c["f"], i + 1)).alias("score")))
+    return step.select(*own, every, gaps, placed, F.array_sort(scored).alias("__tw_found"))
 
 
-def secrets(threshold: float = THRESHOLD) -> Column:
-    """The values of ``findings`` that pass."""
-    return F.transform(F.filter("findings", lambda c: c["score"] > threshold), lambda c: c["value"])
+def findings(docs: DataFrame, trees, text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """``docs`` with ``findings``: an array of (value, position, occurrences,
+    score), one for each different candidate of a text, in order."""
+    docs = without(docs, "findings", *_INTERNAL)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    every, gaps, found, steps, sums, offsets = (F.col(f"__tw_{x}") for x in ("all", "gaps", "found", "steps", "sums", "offsets"))
+    judged = _judged(docs, trees, text_col, path_col)
+    # positions: lengths added up by blocks, so that no sum runs over the whole text
+    reach = F.transform(gaps, lambda g, i: F.length(g) + F.coalesce(F.length(F.get(every, i - 1)), F.lit(0)))
+    step = judged.select(*own, found, F.when(F.size(gaps) > 0, reach).alias("__tw_steps"))
+    add = lambda a, x: a + x
+    blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int"))
+    step = step.select(*own, found, steps, F.transform(blocks, lambda b: F.aggregate(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), add)).alias("__tw_sums"))
+    running = F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    step = step.select(*own, found, steps, F.when(F.size(sums) > 0, running).alias("__tw_offsets"))
+
+    def placed(c):
+        block = F.floor(c["at"] / _BLOCK).cast("int")
+        within = F.aggregate(F.slice(steps, block * _BLOCK + 1, c["at"] % _BLOCK + 1), F.lit(0), add)
+        return F.struct(c["value"].alias("value"), (F.get(offsets, block) + within + 1).alias("position"), c["occurrences"].alias("occurrences"), c["score"].alias("score"))
+
+    nothing = F.array().cast("array<struct<value:string,position:int,occurrences:int,score:double>>")
+    some = (F.size(steps) > 0) & (F.size(offsets) > 0)
+    return step.select(*own, F.coalesce(F.when(some, F.transform(found, placed)), nothing).alias("findings"))
 
 
 def redact(docs: DataFrame, trees, text_col: str = "text", path_col: str | None = None, mark: str = "<SECRET>", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with each secret replaced by ``mark``, and ``n_secrets``."""
-    found = findings(without(docs, "n_secrets"), trees, text_col, path_col)
-    whole = lambda v: F.concat(F.lit(f"(?<![{KEY_SIGNS}])\\Q"), v, F.lit(f"\\E(?![{KEY_SIGNS}])"))
-    step = found.withColumn("findings", secrets(threshold))
-    clean = F.aggregate("findings", F.col(f"`{text_col}`"), lambda t, v: F.regexp_replace(t, whole(v), F.lit(mark)))
-    return step.withColumn(text_col, clean).withColumn("n_secrets", F.size("findings")).drop("findings")
+    """``docs`` with each secret replaced by ``mark``, and ``n_secrets``, the number
+    of different ones."""
+    docs = without(docs, "n_secrets", *_INTERNAL)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    every, gaps, order, found, places, held = (F.col(f"__tw_{x}") for x in ("all", "gaps", "placed", "found", "places", "held"))
+    judged = _judged(docs, trees, text_col, path_col).withColumn("__tw_found", F.filter(found, lambda c: c["score"] > threshold))
+    at = F.flatten(F.transform(found, lambda c: F.transform(F.slice(order, c["k"] + 1, c["occurrences"]), lambda x: x["at"])))
+    whole = F.transform(every, lambda v, i: F.concat(F.get(gaps, i), v))
+    some = (F.size(found) > 0) & (F.size(order) > 0) & (F.size(gaps) > 0)
+    n_secrets = F.coalesce(F.when(F.size(found) > 0, F.size(found)), F.lit(0))
+    step = judged.select(*own, gaps, n_secrets.alias("n_secrets"), F.when(some, F.array_sort(at)).alias("__tw_places"), F.when(some, whole).alias("__tw_held"))
+
+    def cut(p, j):
+        """What lies between the secret before this one and this one."""
+        start = F.coalesce(F.get(places, j - 1), F.lit(-1)) + 1
+        return F.concat(F.array_join(F.slice(held, start + 1, p - start), ""), F.get(gaps, p), F.lit(mark))
+
+    rest = F.element_at(places, -1) + 2
+    tail = F.concat(F.array_join(F.slice(held, rest, F.size(held)), ""), F.element_at(gaps, -1))
+    clean = F.concat(F.array_join(F.transform(places, cut), ""), tail)
+    text = F.when(F.size(places) > 0, clean).otherwise(F.col(f"`{text_col}`"))
+    return step.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "n_secrets")

@@ -119,6 +119,22 @@ def test_scan_and_redact(spark, odd, none, clash, trees):
     assert found.columns.count("findings") == 1 and found.count() == 2
 
 
+def test_many_candidates_agree_with_python(spark, trees):
+    rng = random.Random(4)
+    keys = ["%040x" % rng.getrandbits(160) for _ in range(90)] + ["internationalization", "a-perfectly-ordinary-slug-of-words"]
+    texts = ["".join(rng.choice(["token=", " é🙂 ", "\n", 'key: "', " "]) + rng.choice(keys) + rng.choice([" ", '"', ". ", "é"]) for _ in range(n)) for n in (1, 2, 63, 64, 65, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    redacted = {r.doc_id: r.text for r in secrets.redact(docs, trees).collect()}
+    for r in secrets.findings(docs, trees).collect():
+        text = texts[r.doc_id]
+        seen = {}
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", text):
+            seen.setdefault(m[0], []).append(m.start() + 1)
+        assert [(c.value, c.position, c.occurrences) for c in r.findings] == [(v, at[0], len(at)) for v, at in seen.items()]
+        gone = {c.value for c in r.findings if c.score > secrets.THRESHOLD}
+        assert redacted[r.doc_id] == re.sub(r"[A-Za-z0-9+/_-]{16,}", lambda m: "<SECRET>" if m[0] in gone else m[0], text)
+
+
 # -- 3 ------------------------------------------------------------------------
 
 
