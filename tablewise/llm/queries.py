@@ -30,7 +30,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each different candidate of a document."""
     trees = secrets.train(secrets.labelled_findings(spark))
     found = secrets.findings(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), trees, path_col="source")
-    rows = found.select("doc_id", F.explode("findings").alias("c"))
+    # the outer form, as Spark pushes the plain one's filter below and computes findings twice
+    rows = found.select("doc_id", F.explode_outer("findings").alias("c")).filter(F.col("c").isNotNull())
     return rows.select("doc_id", F.col("c.value").alias("candidate"), F.col("c.position").alias("position"), F.col("c.occurrences").alias("occurrences"), F.col("c.score").alias("score"), (F.col("c.score") > secrets.THRESHOLD).alias("is_secret"))
 
 
