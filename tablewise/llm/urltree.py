@@ -1,9 +1,11 @@
 """URL filters: fixed rules and a path-template tree, in Spark's own functions.
 
 The tree: urls are counted by host and path segments. Going down a host's tree,
-a node's segments become one wildcard if they vary (more than ``max_branches`` of
-them); otherwise branches whose shares of bad labels can't be told apart by a
-two-proportion test are merged. The path that this leaves is the url's template.
+branches whose shares of bad labels can't be told apart by a two-proportion test
+are merged. Where segments vary (more than ``max_branches`` of them), those become
+one wildcard that have fewer than ``SUPPORT`` labels or can't be told from the rest
+of their node; the others are merged as elsewhere, however many they are. The path
+that this leaves is the url's template.
 A template is rejected if the smoothed share of good labels among its labelled
 urls is too low. The tree has ``DEPTH`` levels; deeper segments are one wildcard.
 
@@ -25,6 +27,8 @@ DEPTH = 4
 MAX_BRANCHES = 12
 #: Standard deviations below which two branches count as alike.
 ALIKE = 1.64
+#: Labels below which one of many branches has no share of its own.
+SUPPORT = 10
 #: Prior good and bad urls of a template, and the least share of good ones.
 SMOOTH = (4.0, 1.0)
 LEAST_GOOD = 0.5
@@ -68,13 +72,22 @@ def templates(paths: DataFrame, max_branches: int = MAX_BRANCHES, alike: float =
     for d in range(DEPTH):
         seg = F.element_at("segs", d + 1)
         branches = now.groupBy("host", "template", seg.alias("seg")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        nodes = branches.groupBy("host", "template").agg(F.count("*").alias("width"))
-        branches = branches.join(nodes, ["host", "template"])
-        # a node's few branches in the order of their shares; a new group starts
-        # where the step to the next share is too large to be chance
+        nodes = branches.groupBy("host", "template").agg(F.count("*").alias("width"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
         n = F.col("good") + F.col("bad")
         share = F.coalesce(F.try_divide("bad", n), F.lit(0.0))
-        few = branches.filter(F.col("width") <= max_branches).withColumn("n", n).withColumn("share", share)
+        branches = branches.join(nodes, ["host", "template"]).withColumn("n", n).withColumn("share", share)
+        # among many branches those stand that differ from the rest by more than
+        # the largest of so many chance differences; "*" itself is the wildcard's name
+        total = F.col("all_good") + F.col("all_bad")
+        rest, overall = total - F.col("n"), F.try_divide("all_bad", total)
+        apart = F.abs(F.col("share") - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
+        chance = F.sqrt(overall * (1 - overall) * (F.try_divide(F.lit(1), "n") + F.try_divide(F.lit(1), rest)))
+        limit = F.greatest(F.lit(alike), F.sqrt(2 * F.log("width")))
+        own = (F.col("n") >= SUPPORT) & (apart > limit * chance) & (F.col("seg") != "*")
+        branches = branches.withColumn("stands", (F.col("width") <= max_branches) | F.coalesce(own, F.lit(False)))
+        # the branches in the order of their shares; a new group starts where the
+        # step to the next share is too large to be chance
+        few = branches.filter("stands")
         order = Window.partitionBy("host", "template").orderBy("share", "seg")
         was_n, was_bad = F.lag("n").over(order), F.lag("bad").over(order)
         both = F.try_divide(F.col("bad") + was_bad, F.col("n") + was_n)
@@ -82,9 +95,12 @@ def templates(paths: DataFrame, max_branches: int = MAX_BRANCHES, alike: float =
         far = (F.abs(F.col("share") - F.lag("share").over(order)) > alike * spread) & (spread > 0)  # null: no labels
         few = few.withColumn("step", F.when(far, 1).otherwise(0))
         few = few.withColumn("group", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        names = few.groupBy("host", "template", "group").agg(F.array_join(F.sort_array(F.collect_set("seg")), "|").alias("name"))
+        names = few.groupBy("host", "template", "group").agg(F.sort_array(F.collect_set("seg")).alias("segs"))
+        # groups share no segment, so the first ones and their number name a large one
+        more = F.when(F.size("segs") > max_branches, F.concat(F.lit("|+"), (F.size("segs") - max_branches).cast("string"))).otherwise("")
+        names = names.select("host", "template", "group", F.concat(F.array_join(F.slice("segs", 1, max_branches), "|"), more).alias("name"))
         named = few.join(names, ["host", "template", "group"]).select("host", "template", "seg", "name")
-        many = branches.filter(F.col("width") > max_branches).select("host", "template", "seg", F.lit("*").alias("name"))
+        many = branches.filter("not stands").select("host", "template", "seg", F.lit("*").alias("name"))
         renamed = named.union(many)
         now = now.withColumn("seg", seg).join(renamed, ["host", "template", "seg"])
         now = now.withColumn("template", F.concat("template", F.lit("/"), "name")).drop("seg", "name")

@@ -357,6 +357,22 @@ def test_tree_rejects_bad_templates(spark):
     assert {r.template.split("/")[1] for r in urltree.judge(many, {}).collect()} == {"*"}
 
 
+def _verdicts(spark, counted, **options):
+    """Verdicts by the first segments of paths (start, good, bad, unlabelled)."""
+    rows = [(f"http://h/{start}/{i}", label, start) for start, *counts in counted for label, n in zip((1, 0, None), counts) for i in range(n)]
+    out = urltree.judge(spark.createDataFrame(rows, "url string, label int, start string"), {}, **options)
+    return {r.start: r.verdict for r in out.select("start", "verdict").distinct().collect()}
+
+
+def test_tree_keeps_supported_branches_at_any_width(spark):
+    for width in (11, 12, 30):
+        got = _verdicts(spark, [*((f"s{chr(97 + i)}", 100, 0, 1) for i in range(width)), ("spam", 0, 300 * width // 12, 5)])
+        assert got.pop("spam") == "block" and set(got.values()) == {"allow"} and len(got) == width
+    # thin branches fold into the wildcard and don't hide the one that stands
+    got = _verdicts(spark, [*((f"u{chr(97 + i // 26)}{chr(97 + i % 26)}", 2, 0, 1) for i in range(60)), ("spam", 0, 40, 5)])
+    assert got.pop("spam") == "block" and set(got.values()) == {"allow"}
+
+
 # -- 8 ------------------------------------------------------------------------
 
 
