@@ -7,7 +7,8 @@ one wildcard that have fewer than ``SUPPORT`` labels or can't be told from the r
 of their node; the others are merged as elsewhere, however many they are. The path
 that this leaves is the url's template.
 A template is rejected if the smoothed share of good labels among its labelled
-urls is too low. The tree has ``DEPTH`` levels; deeper segments are one wildcard.
+urls is too low. Every path is followed for ``DEPTH`` levels, and on to its end as
+long as its template holds good and bad labels; one without both is never split.
 
 Runs of digits count as wildcards from the start, which keeps the table of
 distinct paths small. Labels are 1 (good), 0 (bad) or null (none). A null url, or
@@ -18,6 +19,8 @@ Extra columns are kept, and those named like results are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +62,16 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """DEPTH segments: runs of digits stand for themselves as <n>; what a path
-    lacks is empty; deeper ones are told by their number only."""
+    """All segments: runs of digits stand for themselves as <n>."""
     parts = F.split(F.regexp_replace(path, "[0-9]+", "<n>"), "/")
-    padded = F.concat(F.slice(parts, 2, DEPTH), F.array_repeat(F.lit(""), DEPTH))
-    return F.slice(padded, 1, DEPTH)
+    return F.slice(parts, 2, F.size(parts))
 
 
 def templates(paths: DataFrame, max_branches: int = MAX_BRANCHES, alike: float = ALIKE) -> DataFrame:
     """``paths`` (host, path segments ``segs``, n, good, bad) with ``template``."""
-    now = paths.withColumn("template", F.lit(""))
-    for d in range(DEPTH):
-        seg = F.element_at("segs", d + 1)
+    now, settled, d = paths.withColumn("template", F.lit("")), [], 0
+    while True:
+        seg = F.coalesce(F.get("segs", F.lit(d)), F.lit(""))  # what a path lacks is empty
         branches = now.groupBy("host", "template", seg.alias("seg")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         nodes = branches.groupBy("host", "template").agg(F.count("*").alias("width"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
         n = F.col("good") + F.col("bad")
@@ -104,8 +105,17 @@ def templates(paths: DataFrame, max_branches: int = MAX_BRANCHES, alike: float =
         renamed = named.union(many)
         now = now.withColumn("seg", seg).join(renamed, ["host", "template", "seg"])
         now = now.withColumn("template", F.concat("template", F.lit("/"), "name")).drop("seg", "name")
-        now = materialise(now, "url-level")
-    return now
+        now, d = materialise(now, "url-level"), d + 1
+        if d < DEPTH:
+            continue
+        # urls of one kind are never told apart
+        sums = now.groupBy("host", "template").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.max(F.size("segs")).alias("deepest"))
+        mixed = (F.col("all_good") > 0) & (F.col("all_bad") > 0)
+        going = materialise(sums.filter(mixed & (F.col("deepest") > d)).select("host", "template"), "url-going")
+        if going.isEmpty():
+            return reduce(DataFrame.union, settled, now)
+        settled.append(now.join(going, ["host", "template"], "left_anti").select(now.columns))
+        now = now.join(going, ["host", "template"], "left_semi").select(now.columns)
 
 
 def judge(

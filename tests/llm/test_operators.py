@@ -373,6 +373,12 @@ def test_tree_keeps_supported_branches_at_any_width(spark):
     assert got.pop("spam") == "block" and set(got.values()) == {"allow"}
 
 
+def test_tree_follows_paths_to_their_ends(spark):
+    for above in ("a/b/c/d", "blog/2024/01/02/en/x/y"):
+        got = _verdicts(spark, [(f"{above}/good", 60, 0, 5), (f"{above}/spam/z", 0, 60, 5), (above, 3, 0, 0), ("short", 5, 5, 1)])
+        assert got.pop(f"{above}/spam/z") == "block" and set(got.values()) == {"allow"}
+
+
 # -- 8 ------------------------------------------------------------------------
 
 
