@@ -87,9 +87,10 @@ def templates(paths: DataFrame, max_branches: int = MAX_BRANCHES, alike: float =
         own = (F.col("n") >= SUPPORT) & (apart > limit * chance) & (F.col("seg") != "*")
         branches = branches.withColumn("stands", (F.col("width") <= max_branches) | F.coalesce(own, F.lit(False)))
         # the branches in the order of their shares; a new group starts where the
-        # step to the next share is too large to be chance
+        # step to the next share is too large to be chance; branches without labels
+        # come first, where no step begins, and so part no others and join the first group
         few = branches.filter("stands")
-        order = Window.partitionBy("host", "template").orderBy("share", "seg")
+        order = Window.partitionBy("host", "template").orderBy(F.col("n") > 0, "share", "seg")
         was_n, was_bad = F.lag("n").over(order), F.lag("bad").over(order)
         both = F.try_divide(F.col("bad") + was_bad, F.col("n") + was_n)
         spread = F.sqrt(both * (1 - both) * (F.try_divide(F.lit(1), "n") + F.try_divide(F.lit(1), was_n)))

@@ -379,6 +379,11 @@ def test_tree_follows_paths_to_their_ends(spark):
         assert got.pop(f"{above}/spam/z") == "block" and set(got.values()) == {"allow"}
 
 
+def test_tree_is_not_bridged_by_branches_without_labels(spark):
+    got = _verdicts(spark, [("about", 100, 0, 0), ("new", 0, 0, 5), ("spam", 0, 50, 2)])
+    assert got == {"about": "allow", "new": "allow", "spam": "block"}
+
+
 # -- 8 ------------------------------------------------------------------------
 
 
