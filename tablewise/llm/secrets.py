@@ -12,8 +12,8 @@ their usual surroundings, and words, placeholders, links, hashes of builds and
 numbers that scanners take for keys.
 
 Null and empty texts hold no candidates; a null path is an empty one. A candidate
-that a text repeats is judged in its first place and counted; rows are judged one
-by one, so repeated rows and empty tables need no rule. Extra columns are kept by
+that a text repeats is judged in all its surroundings, has the largest of their
+scores, and is counted; rows are judged one by one, so repeated rows and empty tables need no rule. Extra columns are kept by
 ``redact``, and those named like results are replaced.
 """
 
@@ -43,7 +43,7 @@ FINDINGS = 6_000
 THRESHOLD = 0.5
 #: Lengths that are added up at once.
 _BLOCK = 64
-_INTERNAL = [f"__tw_{x}" for x in ("all", "gaps", "placed", "heads", "found", "steps", "sums", "offsets", "places", "held")]
+_INTERNAL = [f"__tw_{x}" for x in ("all", "gaps", "placed", "heads", "scored", "values", "found", "steps", "sums", "offsets", "places", "held")]
 
 #: Frequent pieces of words in four languages.
 WORD_PIECES = (
@@ -194,33 +194,50 @@ def score(trees, value) -> Column:
 
 def _judged(docs: DataFrame, trees, text_col: str, path_col: str | None) -> DataFrame:
     """``docs`` with internal arrays: all candidates in order, the text between
-    them, (value, at) sorted, and the judged ones (at, value, k, occurrences, score),
-    where ``at`` counts candidates from 0 and ``k`` is the place in the sorted array.
+    them, (value, before, at) sorted, and the judged ones (at, value, k, occurrences,
+    score), where ``at`` counts candidates from 0 and is the first place, ``k`` is that
+    in the sorted array, and the score is the largest of the value's surroundings.
     Each step names its arrays more than once, so that none is computed again for
     each element; the work is that of sorting the candidates, however many."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
-    every, gaps, placed, heads = (F.col(f"__tw_{x}") for x in ("all", "gaps", "placed", "heads"))
+    every, gaps, placed, heads, scored, values = (F.col(f"__tw_{x}") for x in ("all", "gaps", "placed", "heads", "scored", "values"))
     some = F.size(every) > 0
     step = docs.select(*own, F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)).alias("__tw_all"))
-    pairs = F.transform(every, lambda v, i: F.struct(v.alias("value"), i.alias("at")))
-    step = step.select(*own, every, F.when(some, F.split(text, PATTERN, -1)).alias("__tw_gaps"), F.when(some, F.array_sort(pairs)).alias("__tw_placed"))
-    # the first place of each different value
-    marked = F.transform(placed, lambda x, k: F.struct(x["value"].alias("value"), x["at"].alias("at"), k.alias("k"), F.get(placed, k - 1)["value"].eqNullSafe(x["value"]).alias("again")))
-    step = step.select(*own, every, gaps, placed, F.filter(marked, lambda x: ~x["again"]).alias("__tw_heads"))
-
-    def surrounded(x, j):
-        parts = (F.get(every, x["at"] - 2), F.get(gaps, x["at"] - 1), F.get(every, x["at"] - 1), F.get(gaps, x["at"]))
+    step = step.select(*own, every, F.when(some, F.split(text, PATTERN, -1)).alias("__tw_gaps"))
+
+    def surrounded(v, i):
+        parts = (F.get(every, i - 2), F.get(gaps, i - 1), F.get(every, i - 1), F.get(gaps, i))
         before = F.right(F.concat(*[F.coalesce(t, F.lit("")) for t in parts]), F.lit(BEFORE))
-        upto = F.coalesce(F.get(heads, j + 1)["k"], F.size(every))
-        return F.struct(x["at"].alias("at"), x["value"].alias("value"), x["k"].alias("k"), (upto - x["k"]).alias("occurrences"), before.alias("before"))
-
-    kept = ("at", "value", "k", "occurrences")
-    described = F.transform(F.transform(heads, surrounded), lambda c: F.struct(*[c[x].alias(x) for x in kept], F.array(*features(c["value"], c["before"], path)).alias("f")))
-    step = step.select(*own, every, gaps, placed, described.alias("__tw_found"))
-    scored = F.transform("__tw_found", lambda c: F.struct(*[c[x].alias(x) for x in kept], score(trees, lambda i: F.element_at(c["f"], i + 1)).alias("score")))
-    return step.select(*own, every, gaps, placed, F.array_sort(scored).alias("__tw_found"))
+        return F.struct(v.alias("value"), before.alias("before"), i.alias("at"))
+
+    step = step.select(*own, every, gaps, F.when(some & (F.size(gaps) > 0), F.array_sort(F.transform(every, surrounded))).alias("__tw_placed"))
+    # the first place of each different value in each of its different surroundings
+
+    def marked(x, k):
+        last = F.get(placed, k - 1)
+        again = last["value"].eqNullSafe(x["value"])
+        return F.struct(x["value"].alias("value"), x["before"].alias("before"), k.alias("k"), again.alias("known"), (again & last["before"].eqNullSafe(x["before"])).alias("again"))
+
+    step = step.select(*own, every, gaps, placed, F.filter(F.transform(placed, marked), lambda x: ~x["again"]).alias("__tw_heads"))
+    kept = ("value", "k", "known")
+    described = F.transform(heads, lambda c: F.struct(*[c[x].alias(x) for x in kept], F.array(*features(c["value"], c["before"], path)).alias("f")))
+    step = step.select(*own, every, gaps, placed, described.alias("__tw_scored"))
+    judged = F.transform(scored, lambda c: F.struct(*[c[x].alias(x) for x in kept], score(trees, lambda i: F.element_at(c["f"], i + 1)).alias("score")))
+    step = step.select(*own, every, gaps, placed, judged.alias("__tw_scored"))
+    firsts = F.filter(F.transform(scored, lambda c, j: F.struct(c["value"].alias("value"), c["k"].alias("k"), j.alias("j"), c["known"].alias("known"))), lambda c: ~c["known"])
+    step = step.select(*own, every, gaps, placed, scored, firsts.alias("__tw_values"))
+
+    def folded(c, i):
+        following = F.get(values, i + 1)
+        count = F.coalesce(following["k"], F.size(placed)) - c["k"]
+        contexts = F.slice(scored, c["j"] + 1, F.coalesce(following["j"], F.size(scored)) - c["j"])
+        at = F.array_min(F.transform(F.slice(placed, c["k"] + 1, count), lambda x: x["at"]))
+        return F.struct(at.alias("at"), c["value"].alias("value"), c["k"].alias("k"), count.alias("occurrences"), F.array_max(F.transform(contexts, lambda x: x["score"])).alias("score"))
+
+    found = F.when(F.size(scored) > 0, F.array_sort(F.transform(values, folded)))
+    return step.select(*own, every, gaps, placed, found.alias("__tw_found"))
 
 
 def findings(docs: DataFrame, trees, text_col: str = "text", path_col: str | None = None) -> DataFrame:

@@ -135,6 +135,28 @@ def test_many_candidates_agree_with_python(spark, trees):
         assert redacted[r.doc_id] == re.sub(r"[A-Za-z0-9+/_-]{16,}", lambda m: "<SECRET>" if m[0] in gone else m[0], text)
 
 
+def test_every_occurrence_is_judged_in_its_surroundings(spark, trees):
+    rng = random.Random(9)
+    keys = ["%040x" % rng.getrandbits(160) for _ in range(20)]
+    parts = [("sha1: ", " was seen.\n"), ('token = "', '"\n'), ("digest=", ";\n")]
+    cases = [(k, [parts[j] for j in order]) for k in keys for order in ((0, 1), (1, 0), (0, 2, 1, 0), (0, 2))]
+    docs = spark.createDataFrame([(i, "".join(f"{a}{k}{b}" for a, b in ps)) for i, (k, ps) in enumerate(cases)], DOCS)
+    alone = spark.createDataFrame([(i * 10 + j, f"{a}{k}{b}") for i, (k, ps) in enumerate(cases) for j, (a, b) in enumerate(ps)], DOCS)
+    one = {r.doc_id: r.findings[0].score for r in secrets.findings(alone, trees).collect()}
+    redacted = {r.doc_id: r for r in secrets.redact(docs, trees).collect()}
+    raised = 0
+    for r in secrets.findings(docs, trees).collect():
+        k, ps = cases[r.doc_id]
+        (c,) = r.findings
+        assert (c.value, c.position, c.occurrences) == (k, len(ps[0][0]) + 1, len(ps))
+        assert c.score >= one[r.doc_id * 10]
+        raised += c.score > secrets.THRESHOLD >= one[r.doc_id * 10]
+        assert (k in redacted[r.doc_id].text) == (c.score <= secrets.THRESHOLD)
+    assert raised == 40
+    clean = [i for i, (_, ps) in enumerate(cases) if len(ps) == 2 and ps[1] == parts[2]]
+    assert all(cases[i][0] in redacted[i].text for i in clean)
+
+
 # -- 3 ------------------------------------------------------------------------
 
 
