@@ -15,7 +15,10 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of pages."""
     captures = warc.write_and_read(table(spark, sf_dir, "pages"))
+    # rows that repeat a page's id and html are one capture, whose metadata counts them
+    captures = captures.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("n_metadata").cast("int"))))
     response = F.col("response.record_type") == "response"
     return captures.select(
         warc.metadata_field("captureId").cast("long").alias("page_id"),

@@ -10,6 +10,8 @@ Rules: a null payload is empty. A capture without a url gets an empty target. Of
 captures with equal payloads of at least ``min_revisit`` bytes the one with the
 smallest id is the response and others revisit it; captures that repeat that id
 are responses too. A capture with a null id is a response, and none revisits it.
+Record ids stem from id and payload: rows that repeat both are all written, and
+``assemble`` makes them one capture, whose ``n_metadata`` counts them.
 Equal payloads are found by SHA-1. Payloads are told by length, so no payload can
 be mistaken for a record's end. Empty tables give empty results, and only the
 named columns are read.
@@ -72,18 +74,19 @@ def write(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str
     revisit = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
 
     def urn(kind, key):
-        """A record id that can be told from the capture's id alone."""
+        """A record id that can be told from the capture's id and payload alone."""
         h = F.md5(F.concat(F.lit(f"{kind}:"), key))
         parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
     key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.uuid()))
-    marked = marked.withColumn("own", urn("capture", key)).withColumn("revisit", F.coalesce(revisit, F.lit(False)))
+    held = lambda id_: F.concat(id_, F.lit(":"), F.col("digest"))
+    marked = marked.withColumn("own", urn("capture", held(key))).withColumn("revisit", F.coalesce(revisit, F.lit(False)))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "), F.col("size").cast("string"), F.lit(_EOL + _EOL))
     common = {"WARC-Target-URI": F.col("url"), "WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("digest"))}
     response = _record("response", F.col("own"), common | {"Content-Type": F.lit("application/http;msgtype=response")}, F.concat(head, F.col("payload")))
     again = common | {
-        "WARC-Refers-To": urn("capture", F.col("first").cast("string")),
+        "WARC-Refers-To": urn("capture", held(F.col("first").cast("string"))),
         "WARC-Profile": F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         "Content-Type": F.lit("application/http;msgtype=response"),
     }

@@ -87,6 +87,14 @@ def test_warc_reads_members_and_orphans(spark, tmp_path):
         list(warc.parse(parts[0][:-8]))
 
 
+def test_op1_returns_every_row_of_a_repeated_id(spark, tmp_path):
+    pages = [(1, "u", "a"), (1, "v", "bb"), (1, "v", "bb"), (2, "w", "bb"), (3, "x", "a"), (3, "x", "ccc")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in queries.op1_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()]
+    want = [(1, 1, "response", None), (1, 2, "response", None), (1, 2, "response", None), (2, 2, "revisit", 1), (3, 1, "revisit", 1), (3, 3, "response", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_empty(spark):
     assert warc.write_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
