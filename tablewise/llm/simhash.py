@@ -258,29 +258,43 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
-def cluster(docs: DataFrame, size: int = 3, max_bits: int = 3, text_col: str = "text", id_col: str = "doc_id", max_group: int = 1_000_000) -> DataFrame:
-    """(id, fp, component_id) of every row of ``docs``."""
+def _clustered(docs: DataFrame, size: int, max_bits: int, text_col: str, id_col: str, max_group: int = 1_000_000) -> DataFrame:
+    """(id, fp, component_id, root) of every row; ``root`` tells components apart
+    that repeated ids give the same component_id."""
     prints = materialise(fingerprints(docs, size, text_col, id_col), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(classes.select("fp"), max_bits, max_group))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     per_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(per_root, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    named = rooted.join(per_root, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("id", "fp", "component_id", "root")
+
+
+def cluster(docs: DataFrame, size: int = 3, max_bits: int = 3, text_col: str = "text", id_col: str = "doc_id", max_group: int = 1_000_000) -> DataFrame:
+    """(id, fp, component_id) of every row of ``docs``."""
+    return _clustered(docs, size, max_bits, text_col, id_col, max_group).drop("root")
 
 
 def dedup(docs: DataFrame, size: int = 3, max_bits: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each component stays: that with the smallest id. An id names
-    one document, so rows that repeat it fold into one. Rows with a null id
-    can't be named and all stay."""
-    own = cluster(docs, size, max_bits, text_col, id_col)
-    keep = own.filter(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("__tw_keep")).agg(F.count("*").alias("n"))
-    keep = materialise(keep, "simhash-kept")
+    """One row of each component stays: that with the smallest id; of rows that
+    repeat this id, one with the smallest fingerprint, then the smallest hash of its
+    text. Rows with a null id can't be named and all stay."""
+    own = _clustered(docs, size, max_bits, text_col, id_col)
+    named = own.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("__tw_keep")).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
+    keep = materialise(named.filter((F.col("n") > 1) | (F.col("least") == F.col("__tw_keep"))), "simhash-kept")
 
     def held(ids):  # texts are shuffled once and never sorted; only ids are hashed
         return docs.join(ids.hint("shuffle_hash"), docs[id_col] == F.col("__tw_keep"), "left_semi")
 
     kept = held(keep.filter("n = 1"))
     if not keep.filter("n > 1").isEmpty():
-        kept = kept.unionByName(held(keep.filter("n > 1")).dropDuplicates([id_col]))
+        # a repeated id doesn't name a row, so its texts are told by their hashes
+        rows = held(keep.filter("n > 1")).withColumn("__tw_hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+        prints = fingerprints(rows, size, text_col, "__tw_hash").groupBy(F.col("id").alias("__tw_hash")).agg(F.min("fp").alias("fp"))
+        pairs = own.filter(F.col("id") == F.col("component_id")).join(keep.filter("n > 1"), F.col("id") == F.col("__tw_keep"), "left_semi")
+        pairs = pairs.groupBy("id", "root").agg(F.min("fp").alias("fp")).select("id", "fp")
+        chosen = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), "__tw_hash").join(prints, "__tw_hash").join(pairs, ["id", "fp"])
+        chosen = materialise(chosen.groupBy("id", "fp").agg(F.min("__tw_hash").alias("__tw_least")).select(F.col("id").alias("__tw_keep"), "__tw_least"), "simhash-chosen")
+        one = rows.join(chosen, (rows[id_col] == F.col("__tw_keep")) & (rows["__tw_hash"] == F.col("__tw_least")), "left_semi")
+        kept = kept.unionByName(one.dropDuplicates([id_col, "__tw_hash"]).drop("__tw_hash"))
     return kept.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

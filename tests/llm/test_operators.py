@@ -489,6 +489,16 @@ def test_cluster_and_dedup(spark, odd, none):
     assert simhash.cluster(none).count() == 0 and simhash.dedup(none).count() == 0
 
 
+def test_dedup_of_repeated_ids(spark):
+    rng = random.Random(6)
+    one, two, three = (" ".join(f"w{rng.getrandbits(30)}" for _ in range(60)) for _ in range(3))
+    # texts of one id, neither a copy of the other; then one that copies a smaller id's; then plain ones
+    rows = [(5, one), (5, two), (5, two), (7, three), (8, three), (8, "quite other words that stand alone"), (9, one), (None, two)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.dedup(spark.createDataFrame(order, DOCS).repartition(3))
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, one), (5, two), (7, three), (8, rows[5][1]), (None, two)], key=str)
+
+
 # -- 9 ------------------------------------------------------------------------
 
 
