@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,8 +13,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch, so that a batch of long texts stays small.
-ARROW_ROWS = 1000
+#: Bytes and rows that a worker handles at once. Spark bounds what it sends by
+#: bytes (spark.sql.execution.arrow.maxBytesPerBatch); a longer row comes alone.
+SLICE_BYTES = 8 << 20
+SLICE_ROWS = 1000
 
 #: Name prefix of internal columns.
 OWN = "__tw_"
@@ -39,27 +42,46 @@ def ship(spark: SparkSession) -> None:
     sc._tablewise_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Make ready for Python workers: the package, and small Arrow batches."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """The batches in slices of at most ``rows`` rows and of about ``size`` bytes."""
+    for b in batches:
+        step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``,
-    or, only where that is unset (local tests), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it
+    is unset, a temporary one serves in local mode only; a cluster's machines don't
+    share theirs, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tablewise-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A path in this application's part of the shared folder. That part is deleted
+    when the driver's JVM ends, since what a caller still reads can't be told earlier."""
+    sc = spark.sparkContext
+    top = f"{shared_dir(spark)}/tablewise-{sc.applicationId}"
+    if getattr(sc, "_tablewise_folder", None) != top:
+        fs, p = _hadoop(spark, top)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._tablewise_folder = top
+    return f"{top}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
@@ -72,11 +94,15 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def remove(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialise`` returned and no one reads
+    any more."""
+    spark = df.sparkSession
+    folder = df.inputFiles()
+    if folder:
+        at = folder[0]
+        fs, p = _hadoop(spark, at[: at.rindex("/")])
+        fs.delete(p, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

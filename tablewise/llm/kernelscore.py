@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, ship, sliced
 
 FEATURES = 256
 WIDTH = 2.5
@@ -40,7 +40,7 @@ _STOPS = b".,;:?"
 _SPACE = b" \t\n\r\x0b\x0c"
 STATS = (
     "log_words", "log_chars", "word_length", "upper", "digit", "sign", "stop", "foreign", "distinct", "twins",
-    "line_repeat", "log_line", "lone_sign", "shouted", "signed_words", "long_words",
+    "line_repeat", "log_line", "entropy", "shouted", "white", "long_words",
 )
 
 
@@ -54,21 +54,22 @@ def statistics(text: str | None) -> list[float]:
     per = lambda x: x / n if n else 0.0
     lines = [x for x in raw.split(b"\n") if x.strip()]
     foreign = len(raw.decode().encode("ascii", "ignore")) if not raw.isascii() else size
-    tails = sum(raw.count(c + s) for c in (b"!", b"#", b"*", b"$", b"%", b"&", b"|") for s in (b" ", b"\n"))
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=1)
+    rates = counts[counts > 0] / max(1, size)
     return [
         np.log1p(n), np.log1p(size), per(body), share(_UPPER), share(_DIGIT), share(_SIGNS), share(_STOPS),
         (size - foreign) / body, per(len(set(words))), per(sum(map(bytes.__eq__, words, words[1:]))),
         1 - len(set(lines)) / len(lines) if lines else 0.0, np.log1p(size / max(1, len(lines))),
-        per(raw.count(b" | ")), per(sum(map(bytes.isupper, words))), per(tails), per(sum(len(w) > 20 for w in words)),
+        -float((rates * np.log2(rates)).sum()), per(sum(map(bytes.isupper, words))), 1 - body / max(1, size), per(sum(len(w) > 20 for w in words)),
     ]
 
 
 def describe(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, stats) of every row."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["id", "stats"])
 
@@ -219,14 +220,14 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     from .common import without
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     docs = without(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([statistics(t) for t in b.column(at).to_pylist()], float).reshape(b.num_rows, len(STATS))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x), pa.float64())], names=schema.names)
 
