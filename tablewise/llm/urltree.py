@@ -1,20 +1,28 @@
 """URL filters: fixed rules and a path-template tree, in Spark's own functions.
 
-The tree: urls are counted by host and path segments. Going down a host's tree,
-branches whose shares of bad labels can't be told apart by a two-proportion test
-are merged. Where segments vary (more than ``max_branches`` of them), those become
-one wildcard that have fewer than ``SUPPORT`` labels or can't be told from the rest
-of their node; the others are merged as elsewhere, however many they are. The path
-that this leaves is the url's template.
-A template is rejected if the smoothed share of good labels among its labelled
-urls is too low. Every path is followed for ``DEPTH`` levels, and on to its end as
-long as its template holds good and bad labels; one without both is never split.
-
-Runs of digits count as wildcards from the start, which keeps the table of
-distinct paths small. Labels are 1 (good), 0 (bad) or null (none). A null url, or
-one without "://", has an empty host and path and belongs to that host's tree.
-Repeated rows count as often as they come; an empty table gives an empty result.
-Extra columns are kept, and those named like results are replaced.
+The tree: urls are counted by host and path segments, runs of digits being one
+wildcard ``<n>`` from the start. A node is a host and what its urls' paths begin
+with, in the shape of a template. Its urls branch by their next segment (the end of
+a path is a segment of its own, the empty one):
+
+- a branch stands if it has ``SUPPORT`` labels and its share of bad ones differs
+  from that of all its siblings together by a two-proportion test, whose limit grows
+  with their number; all other branches, labelled or not, are the wildcard ``*``;
+- standing branches are merged, from the smallest share of bad labels on: each joins
+  the group before it unless the test tells it from the group's pooled counts.
+  Shares are first told apart in steps of 1/``STEPS``, which bounds what is compared;
+- a node goes on as long as it holds good and bad labels, more than ``SUPPORT`` of
+  them, and its urls differ in what follows; what all of them share is passed over at
+  once. Otherwise it is done: its template ends in ``*`` for whatever follows.
+
+So unlabelled branches never join labelled ones that stand, no number of branches or
+segments is too large, and a level costs the urls of undecided nodes only.
+A template is rejected if the smoothed share of good labels among its labelled urls
+is too low. Labels are 1 (good), 0 (bad) or null (none). A null url, or one without
+"://", has an empty host and path and belongs to that host's tree. Repeated rows
+count as often as they come; an empty table gives an empty result; equal shares are
+one step, so ties need no rule; urls may be of any length. Extra columns are kept,
+and those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -24,14 +32,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import materialise, remove, without
 
-DEPTH = 4
-MAX_BRANCHES = 12
-#: Standard deviations below which two branches count as alike.
+#: Standard deviations below which two shares count as alike.
 ALIKE = 1.64
-#: Labels below which one of many branches has no share of its own.
+#: Labels below which a branch has no share of its own.
 SUPPORT = 10
+#: Steps in which shares of bad labels are told apart.
+STEPS = 64
+#: Segments that the name of a merged group lists.
+NAMED = 12
 #: Prior good and bad urls of a template, and the least share of good ones.
 SMOOTH = (4.0, 1.0)
 LEAST_GOOD = 0.5
@@ -67,76 +77,102 @@ def _segments(path: Column) -> Column:
     return F.slice(parts, 2, F.size(parts))
 
 
-def templates(paths: DataFrame, max_branches: int = MAX_BRANCHES, alike: float = ALIKE) -> DataFrame:
-    """``paths`` (host, path segments ``segs``, n, good, bad) with ``template``."""
-    now, settled, d = paths.withColumn("template", F.lit("")), [], 0
+def _far(bad: Column, n: Column, other_bad: Column, other_n: Column, limit: Column) -> Column:
+    """Whether two shares differ by more than ``limit`` deviations; never null."""
+    share, other = F.try_divide(bad, n), F.try_divide(other_bad, other_n)
+    both = F.try_divide(bad + other_bad, n + other_n)
+    chance = F.sqrt(both * (1 - both) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), other_n)))
+    return F.coalesce(F.abs(share - other) > limit * chance, F.lit(False))
+
+
+def _shared(low: Column, high: Column) -> Column:
+    """The number of leading segments that two arrays share."""
+    same = F.transform(low, lambda x, i: x.eqNullSafe(F.get(high, i)))
+    first = F.array_position(same, F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.size(low)).cast("int")
+
+
+def _groups(standing: DataFrame, alike: float) -> DataFrame:
+    """(host, template, step, grp): which steps of bad labels' shares are one group.
+    A node has at most ``STEPS`` + 1 steps, whatever its branches."""
+    steps = standing.groupBy("host", "template", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    nodes = steps.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("step", "good", "bad"))).alias("steps"))
+
+    def fold(acc, x):
+        n, acc_n = x["good"] + x["bad"], acc["good"] + acc["bad"]
+        new = _far(x["bad"], n, acc["bad"], acc_n, F.lit(alike))
+        grp = F.when(new, acc["grp"] + 1).otherwise(acc["grp"])
+        keep = lambda c: F.when(new, F.lit(0).cast("long")).otherwise(acc[c])
+        return F.struct(
+            (keep("good") + x["good"]).alias("good"), (keep("bad") + x["bad"]).alias("bad"), grp.alias("grp"),
+            F.concat(acc["out"], F.array(F.struct(x["step"].alias("step"), grp.alias("grp")))).alias("out"),
+        )
+
+    nothing = F.lit(0).cast("long")
+    start = F.struct(nothing.alias("good"), nothing.alias("bad"), F.lit(0).alias("grp"), F.array().cast("array<struct<step:int,grp:int>>").alias("out"))
+    return nodes.select("host", "template", F.inline(F.aggregate("steps", start, fold)["out"]))
+
+
+def _names(standing: DataFrame) -> DataFrame:
+    """(host, template, grp, name): the first ``NAMED`` segments, and the number of
+    the others. Groups of a node share no segment, so no two have one name."""
+    group = ["host", "template", "grp"]
+    sizes = standing.groupBy(*group).agg(F.count("*").alias("size"))
+    first = standing.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("seg"))).filter(F.col("at") <= NAMED)
+    lists = first.groupBy(*group).agg(F.array_join(F.sort_array(F.collect_list("seg")), "|").alias("list"))
+    more = F.when(F.col("size") > NAMED, F.concat(F.lit("|+"), (F.col("size") - NAMED).cast("string"))).otherwise("")
+    return lists.join(sizes, group).select(*group, F.concat("list", more).alias("name"))
+
+
+def templates(paths: DataFrame, support: int = SUPPORT, alike: float = ALIKE) -> DataFrame:
+    """``paths`` (host, path segments ``segs``, good, bad) with ``template``."""
+    node, columns = ["host", "template"], [*paths.columns, "template"]
+    live, settled = paths.withColumn("template", F.lit("")).withColumn("rest", F.col("segs")), []
     while True:
-        seg = F.coalesce(F.get("segs", F.lit(d)), F.lit(""))  # what a path lacks is empty
-        branches = now.groupBy("host", "template", seg.alias("seg")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        nodes = branches.groupBy("host", "template").agg(F.count("*").alias("width"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-        n = F.col("good") + F.col("bad")
-        share = F.coalesce(F.try_divide("bad", n), F.lit(0.0))
-        branches = branches.join(nodes, ["host", "template"]).withColumn("n", n).withColumn("share", share)
-        # among many branches those stand that differ from the rest by more than
-        # the largest of so many chance differences; "*" itself is the wildcard's name
-        total = F.col("all_good") + F.col("all_bad")
-        rest, overall = total - F.col("n"), F.try_divide("all_bad", total)
-        apart = F.abs(F.col("share") - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
-        chance = F.sqrt(overall * (1 - overall) * (F.try_divide(F.lit(1), "n") + F.try_divide(F.lit(1), rest)))
-        limit = F.greatest(F.lit(alike), F.sqrt(2 * F.log("width")))
-        own = (F.col("n") >= SUPPORT) & (apart > limit * chance) & (F.col("seg") != "*")
-        branches = branches.withColumn("stands", (F.col("width") <= max_branches) | F.coalesce(own, F.lit(False)))
-        # the branches in the order of their shares; a new group starts where the
-        # step to the next share is too large to be chance; branches without labels
-        # come first, where no step begins, and so part no others and join the first group
-        few = branches.filter("stands")
-        order = Window.partitionBy("host", "template").orderBy(F.col("n") > 0, "share", "seg")
-        was_n, was_bad = F.lag("n").over(order), F.lag("bad").over(order)
-        both = F.try_divide(F.col("bad") + was_bad, F.col("n") + was_n)
-        spread = F.sqrt(both * (1 - both) * (F.try_divide(F.lit(1), "n") + F.try_divide(F.lit(1), was_n)))
-        far = (F.abs(F.col("share") - F.lag("share").over(order)) > alike * spread) & (spread > 0)  # null: no labels
-        few = few.withColumn("step", F.when(far, 1).otherwise(0))
-        few = few.withColumn("group", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        names = few.groupBy("host", "template", "group").agg(F.sort_array(F.collect_set("seg")).alias("segs"))
-        # groups share no segment, so the first ones and their number name a large one
-        more = F.when(F.size("segs") > max_branches, F.concat(F.lit("|+"), (F.size("segs") - max_branches).cast("string"))).otherwise("")
-        names = names.select("host", "template", "group", F.concat(F.array_join(F.slice("segs", 1, max_branches), "|"), more).alias("name"))
-        named = few.join(names, ["host", "template", "group"]).select("host", "template", "seg", "name")
-        many = branches.filter("not stands").select("host", "template", "seg", F.lit("*").alias("name"))
-        renamed = named.union(many)
-        now = now.withColumn("seg", seg).join(renamed, ["host", "template", "seg"])
-        now = now.withColumn("template", F.concat("template", F.lit("/"), "name")).drop("seg", "name")
-        now, d = materialise(now, "url-level"), d + 1
-        if d < DEPTH:
-            continue
-        # urls of one kind are never told apart
-        sums = now.groupBy("host", "template").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.max(F.size("segs")).alias("deepest"))
-        mixed = (F.col("all_good") > 0) & (F.col("all_bad") > 0)
-        going = materialise(sums.filter(mixed & (F.col("deepest") > d)).select("host", "template"), "url-going")
+        sums = live.groupBy(*node).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        mixed = (F.col("all_good") > 0) & (F.col("all_bad") > 0) & (F.col("all_good") + F.col("all_bad") > support) & (F.col("low") != F.col("high"))
+        going = materialise(sums.filter(mixed).select(*node, "all_good", "all_bad", _shared(F.col("low"), F.col("high")).alias("skip")), "url-nodes")
+        done = live.join(going, node, "left_anti")
+        ends = F.when(F.size("rest") > 0, F.concat("template", F.lit("/*"))).otherwise(F.col("template"))
+        settled.append(done.withColumn("template", ends).select(*columns))
         if going.isEmpty():
-            return reduce(DataFrame.union, settled, now)
-        settled.append(now.join(going, ["host", "template"], "left_anti").select(now.columns))
-        now = now.join(going, ["host", "template"], "left_semi").select(now.columns)
+            return reduce(DataFrame.unionAll, settled)
+        at = live.join(going, node).withColumn("seg", F.coalesce(F.get("rest", F.col("skip")), F.lit("")))
+        branches = at.groupBy(*node, "seg").agg(
+            F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.first("all_good").alias("all_good"), F.first("all_bad").alias("all_bad"))
+        widths = branches.groupBy(*node).agg(F.count("*").alias("width"))
+        n, total = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
+        limit = F.greatest(F.lit(alike), F.sqrt(2 * F.log("width")))
+        own = (n >= support) & (F.col("seg") != "*") & _far(F.col("bad"), n, F.col("all_bad") - F.col("bad"), total - n, limit)
+        step = F.round(F.try_divide("bad", n) * STEPS).cast("int")
+        standing = materialise(branches.join(widths, node).filter(own).select(*node, "seg", "good", "bad", step.alias("step")), "url-branches")
+        grouped = standing.join(_groups(standing, alike), [*node, "step"])
+        named = grouped.join(_names(grouped), [*node, "grp"]).select(*node, "seg", "name")
+        passed = F.transform(F.slice("rest", F.lit(1), F.col("skip")), lambda x: F.concat(F.lit("/"), x))
+        template = F.concat("template", F.array_join(passed, ""), F.lit("/"), F.coalesce("name", F.lit("*")))
+        rest = F.slice("rest", F.col("skip") + 2, F.size("rest"))
+        live = materialise(at.join(named, [*node, "seg"], "left").withColumn("template", template).select(*columns, rest.alias("rest")), "url-level")
+        remove(standing)
 
 
 def judge(
     urls: DataFrame, rules: dict[str, str], url_col: str = "url", label_col: str = "label",
-    smooth: tuple[float, float] = SMOOTH, least_good: float = LEAST_GOOD, max_branches: int = MAX_BRANCHES, alike: float = ALIKE,
+    smooth: tuple[float, float] = SMOOTH, least_good: float = LEAST_GOOD, support: int = SUPPORT, alike: float = ALIKE,
 ) -> DataFrame:
     """``urls`` with host, path, rule, template, good_share and verdict: allow or
     block. ``rules`` maps "host/path" to a verdict, which wins over the tree's."""
-    urls = without(urls, "host", "path", "rule", "template", "good_share", "verdict", "segs")
+    urls = without(urls, "host", "path", "rule", "template", "good_share", "verdict")
+    segs = "__tw_segs"
     host, path = host_and_path(F.col(f"`{url_col}`"))
-    own = urls.withColumns({"host": host, "path": path}).withColumn("segs", _segments(F.col("path")))
+    own = urls.withColumns({"host": host, "path": path}).withColumn(segs, _segments(F.col("path")))
     label = F.col(f"`{label_col}`")
-    paths = own.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count_if(label == 1).alias("good"), F.count_if(label == 0).alias("bad"))
-    tree = templates(materialise(paths, "url-paths"), max_branches, alike)
+    paths = own.groupBy("host", F.col(segs).alias("segs")).agg(F.count_if(label == 1).alias("good"), F.count_if(label == 0).alias("bad"))
+    tree = templates(materialise(paths, "url-paths"), support, alike)
     pure = tree.groupBy("host", "template").agg(((F.sum("good") + smooth[0]) / (F.sum("good") + F.sum("bad") + sum(smooth))).alias("good_share"))
-    judged = tree.join(pure, ["host", "template"]).select("host", "segs", "template", "good_share")
-    rule = rule_of(F.col("host"), F.col("path"), rules)
+    judged = tree.join(pure, ["host", "template"]).select("host", F.col("segs").alias(segs), "template", "good_share")
     fixed = F.lit(None).cast("string")
     for name, what in rules.items():
         fixed = F.when(F.col("rule") == name, F.lit(what)).otherwise(fixed)
     method = F.when(F.col("good_share") < least_good, "block").otherwise("allow")
-    out = own.join(judged, ["host", "segs"]).withColumn("rule", rule).withColumn("verdict", F.coalesce(fixed, method))
+    out = own.join(judged, ["host", segs]).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("verdict", F.coalesce(fixed, method))
     return out.select(*[F.col(f"`{c}`") for c in urls.columns], "host", "path", "rule", "template", "good_share", "verdict")
