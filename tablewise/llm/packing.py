@@ -4,13 +4,17 @@ A document's ids (with an end id) are cut into full windows and a rest. Full
 windows are sequences of their own. Rests are placed online: into the fill level
 that makes the sum of squared counts of partially filled windows smallest, a new
 window being level 0; a level array holds the counts, so a placement costs one
-pass over it. Each input partition packs its own rows in their order, so nothing
-is shuffled, and a lost task packs the same rows again to the same result.
-
-Windows still open at the end of a partition (or when ``max_open`` are) are
-closed by cutting: pieces of the emptiest windows fill the fullest ones to the
-brim. What is left of one last window is cut into sequences whose lengths are
-powers of two, which take no padding.
+pass over it. Each input partition packs its own rows in their order, so no
+document is shuffled.
+
+Windows still open at the end of a partition are not closed by cutting. Their
+pieces go on, whole, to a second pass: rows of (piece, ids) that fewer tasks take,
+one for about ``ROUND_TOKENS`` ids, and place by the same method. What is still open
+then (a few hundred windows a task) stays as it was filled: a window that lacks
+at most ``NEARLY`` of it is padded, another one is cut, by itself, into sequences whose
+lengths are powers of two, which take no padding. A task holds at most
+``max_open`` open windows; beyond that the fullest one goes on to the second pass (in
+the second pass: is finished as at the end).
 
 A null or empty text is a document of the end id alone. Rows with a null id are
 packed like others. Repeated rows are packed each by itself. An empty table gives
@@ -19,6 +23,8 @@ no piece. Only the id and text columns are read, so other names don't clash.
 
 from __future__ import annotations
 
+import json
+import math
 import re
 
 import numpy as np
@@ -29,10 +35,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from .common import small_batches
+from .common import materialise, ship, sliced
 
 WINDOW = 2048
-MAX_OPEN = 8192
+#: Open windows of a task at most: 128 MB of ids.
+MAX_OPEN = 16_384
+#: Ids that a task of the second pass takes, about.
+ROUND_TOKENS = 1 << 26
+#: A window left open that lacks at most this part of it is padded.
+NEARLY = 1 / 64
 #: Words, and runs of letters, whose ids a worker remembers.
 REMEMBERED = 800_000
 #: Rows of one Arrow batch of pieces.
@@ -47,8 +58,20 @@ class WordCoder:
     letters can't yield between them, and are remembered. Other texts are cut at
     white space first, and only their words that aren't plain go through the whole
     tokenizer, as do texts with the control signs that only Python takes for white
-    space."""
-
+    space. All of this holds for files with the ``PARTS`` below; with any other file
+    every text goes through the whole tokenizer."""
+
+    #: The parts of a tokenizer file that the short cuts rest on.
+    PARTS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
     #: The split pattern of the tokenizer file, for lower-cased plain
     #: signs. Plain letters are those that Python lower-cases to one plain letter.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[!-/:-@\[-`{-~×÷]+"
@@ -62,6 +85,10 @@ class WordCoder:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        added = {t["content"] for t in own.get("added_tokens") or ()}
+        self.known = all(own.get(k) == v for k, v in self.PARTS.items()) and all(a.startswith("<|") for a in added)
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = WhitespaceSplit()
         self.between = self.bare.encode("!", add_special_tokens=False).ids[0]
@@ -114,6 +141,8 @@ class WordCoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; long ones are cut at spaces, where every run ends."""
+        if not self.known:
+            return [self._by_whole(t) for t in texts]
         out: list[list[bytes]] = [[] for _ in texts]
         held: list[tuple[int, str]] = []
         size = 0
@@ -182,13 +211,10 @@ class Packer:
         while total - at >= w:
             done.append([(doc, at, raw[4 * at : 4 * (at + w)], total)])
             at += w
-        if total > at:
-            done += self._place((doc, at, raw[4 * at :], total))
-        if self.count > self.max_open:
-            done += self._close(last=False)
-        return done
+        return done + self.place((doc, at, raw[4 * at :], total)) if total > at else done
 
-    def _place(self, piece) -> list[list[tuple]]:
+    def place(self, piece) -> list[list[tuple]]:
+        """The sequence that a piece shorter than a window closes, if it does."""
         size, w = len(piece[2]) // 4, self.window
         # half the change of the sum of squares, for fill h = 1 .. w - size
         fill = self.levels[1 : w - size + 1]
@@ -214,106 +240,103 @@ class Packer:
         self.levels[h + size] += 1
         return []
 
-    def _close(self, last: bool) -> list[list[tuple]]:
-        """All open windows, filled from the emptiest; the one that remains stays
-        open, or is cut to powers of two."""
-        bins, w, done = [], self.window, []
-        for h in range(w - 1, 0, -1):
-            bins += [(h, b) for b in self.open[h]]
-            self.open[h] = []
-        self.levels[:] = 0
-        self.count = 0
-        i, j, spare = 0, len(bins), []
-        current, fill = [], 0
-        while True:
-            if not current and i < j:
-                (fill, current), i = bins[i], i + 1
-            if not current and spare:  # only parts of a dissolved window remain
-                current, fill = [spare.pop(0)], 0
-                fill = len(current[0][2]) // 4
-            if not current:
-                return done
-            while fill < w:
-                if not spare:
-                    if i >= j:
-                        break
-                    j -= 1
-                    spare = list(bins[j][1])
-                doc, start, raw, total = spare.pop(0)
-                take = min(w - fill, len(raw) // 4)
-                current.append((doc, start, raw[: 4 * take], total))
-                fill += take
-                if len(raw) > 4 * take:
-                    spare.insert(0, (doc, start + take, raw[4 * take :], total))
-            if fill == w:
-                done.append(current)
-                current = []
-                continue
-            break
-        if not last:
-            self.open[fill].append(current)
-            self.levels[fill] += 1
-            self.count += 1
-            return done
-        while fill:
-            size = 1 << (fill.bit_length() - 1)
-            part, got = [], 0
-            while got < size:
-                doc, start, raw, total = current.pop(0)
-                take = min(size - got, len(raw) // 4)
-                part.append((doc, start, raw[: 4 * take], total))
-                got += take
-                if len(raw) > 4 * take:
-                    current.insert(0, (doc, start + take, raw[4 * take :], total))
-            done.append(part)
-            fill -= size
-        return done
-
-    def finish(self) -> list[list[tuple]]:
-        return self._close(last=True)
-
-
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", max_open: int = MAX_OPEN) -> DataFrame:
+    def spill(self, all_: bool = False) -> list[list[tuple]]:
+        """Open windows that go, the fullest first: those over ``max_open``, or all."""
+        out, h = [], self.window - 1
+        while self.count > (0 if all_ else self.max_open):
+            while not self.open[h]:
+                h -= 1
+            out.append(self.open[h].pop())
+            self.levels[h] -= 1
+            self.count -= 1
+        return out
+
+
+def finish(bin_: list[tuple], window: int) -> list[list[tuple]]:
+    """The sequences of a window that stays open: itself, if it is nearly full, else
+    its ids in lengths that are powers of two."""
+    fill, out = sum(len(p[2]) // 4 for p in bin_), []
+    if window - fill <= NEARLY * window:
+        return [bin_]
+    left = list(reversed(bin_))
+    while fill:
+        size = 1 << (fill.bit_length() - 1)
+        part, got = [], 0
+        while got < size:
+            doc, start, raw, total = left.pop()
+            take = min(size - got, len(raw) // 4)
+            part.append((doc, start, raw[: 4 * take], total))
+            got += take
+            if len(raw) > 4 * take:
+                left.append((doc, start + take, raw[4 * take :], total))
+        out.append(part)
+        fill -= size
+    return out
+
+
+_NAMES = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+_SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+
+class _Rows:
+    """Rows of pieces, handed on in batches; sequences are numbered by task."""
+
+    def __init__(self, number: int):
+        self.number, self.rows = number, []
+
+    def note(self, sequences, closed: bool = True) -> None:
+        for seq in sequences:
+            at = 0
+            for doc, start, raw, total in seq:
+                self.rows.append((doc, start, len(raw) // 4, raw, total, self.number if closed else None, at if closed else None))
+                at += len(raw) // 4
+            self.number += closed
+
+    def batches(self, least: int = _ROWS):
+        while len(self.rows) >= max(least, 1):
+            some, self.rows = self.rows[:_ROWS], self.rows[_ROWS:]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _TYPES)], names=_NAMES)
+
+
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", max_open: int = MAX_OPEN, round_tokens: int = ROUND_TOKENS) -> DataFrame:
     """One row for each piece: the document's id, ``start`` (its ids before the
     piece), ``length``, ``ids`` (little-endian unsigned 32-bit, binary),
     ``doc_tokens``, ``sequence_id`` and ``offset`` in the sequence.
     ``tokenizer_file`` must be a local path on every executor."""
-    small_batches(docs.sparkSession)
-    names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches):
-        own, packer = coder(tokenizer_file), Packer(window, max_open)
-        number = TaskContext.get().partitionId() << 32
-        rows: list[tuple] = []
-
-        def note(sequences):
-            nonlocal number
-            for seq in sequences:
-                at = 0
-                for doc, start, raw, total in seq:
-                    rows.append((doc, start, len(raw) // 4, raw, total, number, at))
-                    at += len(raw) // 4
-                number += 1
-
-        def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-            rows.clear()
-            return out
-
-        for b in batches:
+    def first(batches):
+        own, packer, out = coder(tokenizer_file), Packer(window, max_open), _Rows(TaskContext.get().partitionId() << 32)
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc, raw in zip(b.column(0).to_pylist(), own.encode_batch(texts)):
-                note(packer.add(doc, raw + end))
-                if len(rows) >= _ROWS:
-                    yield batch()
-        sequences = packer.finish()
-        for at in range(0, len(sequences), _ROWS):
-            note(sequences[at : at + _ROWS])
-            yield batch()
-        if rows:
-            yield batch()
+                out.note(packer.add(doc, raw + end))
+                out.note(packer.spill(), closed=False)
+                yield from out.batches()
+        out.note(packer.spill(all_=True), closed=False)
+        yield from out.batches(1)
+
+    def second(batches):
+        packer, out = Packer(window, max_open), _Rows((1 << 62) + (TaskContext.get().partitionId() << 32))
+        for b in sliced(batches):
+            for doc, start, raw, total in zip(*(b.column(i).to_pylist() for i in range(4))):
+                out.note(packer.place((doc, start, raw, total)))
+                for bin_ in packer.spill():
+                    out.note(finish(bin_, window))
+                yield from out.batches()
+        for bin_ in packer.spill(all_=True):
+            out.note(finish(bin_, window))
+            yield from out.batches()
+        yield from out.batches(1)
 
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return picked.mapInArrow(run, f"`{id_col}` long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    placed = materialise(picked.mapInArrow(first, _SCHEMA), "packed")
+    left = placed.filter(F.col("sequence_id").isNull()).select("id", "start", "ids", "doc_tokens", "length")
+    tasks = math.ceil((left.agg(F.sum("length")).first()[0] or 0) / round_tokens)
+    out = placed.filter(F.col("sequence_id").isNotNull())
+    if tasks:
+        again = left.drop("length").coalesce(tasks).mapInArrow(second, _SCHEMA)
+        out = out.unionAll(again)
+    return out.withColumnRenamed("id", id_col)
