@@ -22,18 +22,26 @@ from __future__ import annotations
 import hashlib
 import zlib
 from base64 import b32encode
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import materialise, new_path, remove, ship
 
 #: Digits of base 32 as conv() writes them and as RFC 4648 does.
 _CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _B32_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records of one archive file at most.
+#: Records of one archive file at most, and its bytes before it is packed.
 FILE_RECORDS = 6_000
+FILE_BYTES = 1 << 29
+#: Bytes that are unpacked at once.
+_STEP = 1 << 20
+#: Parts that a hot digest's narrow rows are dealt out over.
+_SALTS = 16
+#: Bytes of payloads that a worker hands on at once.
+_OUT = 16 << 20
 _EOL = "\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -67,11 +75,15 @@ def write(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str
         F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"),
     )
     own = own.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
-    # only payloads that come more than once travel to the join's small side
-    copies = own.filter((F.col("size") >= min_revisit) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    copies = copies.filter("n > 1").select("digest", "first")
-    marked = own.join(copies, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
+    # who is first is told by narrow rows alone, dealt out over salts where a digest is
+    # hot; only then do payloads travel, by id and digest
+    narrow = materialise(own.select("id", "digest", "size"), "warc-digests")
+    some = narrow.filter((F.col("size") >= min_revisit) & F.col("id").isNotNull()).select("id", "digest")
+    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS)).alias("salt")
+    copies = some.groupBy("digest", salt).agg(F.min("id").alias("first"), F.max("id").alias("last")).groupBy("digest").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    copies = copies.filter("last > first").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    later = some.select("id", "digest", salt).join(copies, ["digest", "salt"]).filter("id > first").select("id", "digest", "first").distinct()
+    marked = own.join(later, ["id", "digest"], "left")
 
     def urn(kind, key):
         """A record id that can be told from the capture's id and payload alone."""
@@ -81,7 +93,7 @@ def write(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
     key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.uuid()))
     held = lambda id_: F.concat(id_, F.lit(":"), F.col("digest"))
-    marked = marked.withColumn("own", urn("capture", held(key))).withColumn("revisit", F.coalesce(revisit, F.lit(False)))
+    marked = marked.withColumn("own", urn("capture", held(key))).withColumn("revisit", F.col("first").isNotNull())
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "), F.col("size").cast("string"), F.lit(_EOL + _EOL))
     common = {"WARC-Target-URI": F.col("url"), "WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("digest"))}
     response = _record("response", F.col("own"), common | {"Content-Type": F.lit("application/http;msgtype=response")}, F.concat(head, F.col("payload")))
@@ -97,32 +109,63 @@ def write(captures: DataFrame, path: str, id_col: str = "page_id", url_col: str
     known = F.concat(F.lit("captureId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"{_EOL}payloadLength: "), F.col("size").cast("string"), F.lit(f"{_EOL}firstCapture: "), F.coalesce(F.when(F.col("revisit"), F.col("first")).cast("string"), F.lit("")), F.lit(_EOL))
     metadata = _record("metadata", urn("metadata", F.col("own")), {"WARC-Target-URI": F.col("url"), "WARC-Concurrent-To": urn("request", F.col("own")), "Content-Type": F.lit("application/warc-fields")}, known)
     records = F.array(request, F.when(F.col("revisit"), _record("revisit", F.col("own"), again, head)).otherwise(response), metadata)
-    marked.select(F.explode(records).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    # archives are bounded by bytes: the largest payload tells how many records one
+    # may hold, small payloads and large ones having archives of their own
+    small = FILE_BYTES * 3 // FILE_RECORDS
+    largest = narrow.agg(F.max("size")).first()[0] or 0
+    for name, some, most in (("small", F.col("size") <= small, small), ("large", F.col("size") > small, largest)):
+        if name == "small" or largest > small:
+            per_file = max(3, min(FILE_RECORDS, 3 * (FILE_BYTES // max(1, most))))
+            rows = marked.filter(some).select(F.explode(records).alias("value"))
+            rows.write.mode("append").option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    remove(narrow)
+
+
+def _unpacked(data) -> Iterator[bytes]:
+    """The bytes of an archive, gzip or plain, in steps."""
+    data = memoryview(data)
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[at : at + _STEP]) for at in range(0, len(data), _STEP))
+        return
+    at = 0
+    while at < len(data):  # any number of gzip members
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            step = data[at : at + _STEP // 8]
+            at += len(step)
+            yield member.decompress(step)
+        at -= len(member.unused_data)
 
 
-def parse(data: bytes):
+def parse(data) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record of one archive, gzip or plain; names of
-    fields are lower-cased. A record that breaks off is an error."""
-    if data[:2] == b"\x1f\x8b":
-        whole = []
-        while data:  # any number of gzip members
-            member = zlib.decompressobj(31)
-            whole.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(whole)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        lines = data[at:end].split(b"\r\n")[1:]
+    fields are lower-cased. A record that breaks off is an error. Besides ``data``
+    itself no more than a record and a step of the archive are held."""
+    steps, held, done = _unpacked(data), bytearray(), 0
+
+    def more() -> bool:
+        step = next(steps, None)
+        if step is not None:
+            held.extend(step)
+        return step is not None
+
+    while held or more():
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if not held:
+            return
+        if end < 0 or not held.startswith(b"WARC/"):
+            raise ValueError(f"no record at byte {done}")
+        lines = bytes(held[:end]).split(b"\r\n")[1:]
         fields = {a.strip().lower().decode(): b.strip().decode() for a, _, b in (x.partition(b":") for x in lines)}
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size:
-            raise ValueError(f"the record at byte {at} breaks off")
-        yield fields, block
-        at = end + 4 + size + 4
+        stop = end + 4 + int(fields["content-length"])
+        while len(held) < stop + 4 and more():
+            pass
+        if len(held) < stop:
+            raise ValueError(f"the record at byte {done} breaks off")
+        yield fields, bytes(held[end + 4 : stop])
+        done += stop + 4
+        del held[: stop + 4]
 
 
 RECORD = "record_id string, record_type string, target_uri string, concurrent_to string, refers_to string, declared_digest string, payload_digest string, payload_bytes long, payload binary"
@@ -136,22 +179,28 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
 
     def run(batches):
+        rows, size = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
         for b in batches:
             for i in range(b.num_rows):
-                rows = []
-                for f, block in parse(b.column(0)[i].as_py()):
+                for f, block in parse(b.column(0)[i].as_buffer()):
                     kind = f.get("warc-type")
                     body = block.partition(b"\r\n\r\n")[2] if kind in ("response", "request", "revisit") else block
                     full = kind == "response"
-                    rows.append((f.get("warc-record-id"), kind, f.get("warc-target-uri"), f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, b32encode(hashlib.sha1(body).digest()).decode() if full else None, len(body) if full else None, body if payload or kind == "metadata" else None))
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    kept = body if payload or kind == "metadata" else None
+                    rows.append((f.get("warc-record-id"), kind, f.get("warc-target-uri"), f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, b32encode(hashlib.sha1(body).digest()).decode() if full else None, len(body) if full else None, kept))
+                    size += len(kept or b"")
+                    if len(rows) >= 500 or size >= _OUT:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
+            yield batch()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    small_batches(spark, 1)  # one archive at a time
+    ship(spark)
     return files.mapInArrow(run, RECORD)
 
 
@@ -194,8 +243,9 @@ def metadata_field(name: str) -> Column:
 
 
 def write_and_read(captures: DataFrame, **columns) -> DataFrame:
-    """Write archives to the shared folder and assemble their captures."""
+    """Write archives to the shared folder and assemble their captures. The archives
+    are read once: records without payloads are kept as a table."""
     spark = captures.sparkSession
     path = new_path(spark, "warc")
     write(captures, path, **columns)
-    return assemble(read(spark, path, payload=False))
+    return assemble(materialise(read(spark, path, payload=False), "warc-records"))
