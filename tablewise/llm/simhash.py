@@ -9,10 +9,12 @@ binary trie (a sorted array, nodes are ranges) joins itself: pairs of nodes go
 down together, differing bits add up, and a pair whose sum is over the budget is
 pruned. A group returns a spanning forest of its links, never all pairs; pairs
 of nodes whose leaves are already connected are pruned too. Groups with over
-``max_group`` classes are dealt again by a further block of the other bits. The
-forests meet in alternating star rounds, each cut by a checkpoint.
+``max_group`` classes are dealt again by a further block of the other bits, and so
+on until none is left. The forests meet in alternating star rounds, each cut by a
+checkpoint.
 
-Nulls: a null text has no words and so fingerprint zero, as has an empty one.
+Texts may be of any length: hashes are counted in steps. Nulls: a null text has no
+words and so fingerprint zero, as has an empty one.
 Rows with a null id get a fingerprint and take part in linking; a component's id
 is its smallest non-null id. ``cluster`` returns repeated rows as often as they
 come. Extra columns are kept by ``dedup`` and not read. An empty table gives an
@@ -21,13 +23,15 @@ empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, signed, small_batches
+from .common import materialise, ship, signed, sliced
 
 SEED = 42
 BITS = 64
@@ -61,10 +65,10 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, fingerprint as a signed long) of every row."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = [signed(fingerprint(t, size)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["id", "fp"])
 
@@ -180,27 +184,40 @@ def links(classes: DataFrame, max_bits: int = 3, max_group: int = 1_000_000) ->
     """(a, b) links between distinct fingerprints ``fp``: a spanning forest of
     each block's group, which together connect all pairs within ``max_bits``."""
     spark = classes.sparkSession
-    code = F.col("fp")
-    blocks = _blocks(max_bits + 1, list(range(BITS)))
-    dealt = classes.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _value(code, b).alias("value")) for i, b in enumerate(blocks)])).alias("k")
-    ).select("fp", "k.block", "k.value")
-    hot = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > max_group)
-    if classes.count() > max_group and not hot.isEmpty():
+    key = F.xxhash64("key", "block", "value")
+
+    def deal(rows, bits):
+        """``rows`` (fp, key, path) with a key for each block of ``bits``."""
+        cut = _blocks(max_bits + 1, bits)
+        picks = F.array(*[F.struct(F.lit(i).alias("block"), _value(F.col("fp"), b).alias("value")) for i, b in enumerate(cut)])
+        return rows.select("fp", "key", "path", F.inline(picks)).select("fp", key.alias("key"), F.concat("path", F.col("block").cast("string"), F.lit(".")).alias("path"))
+
+    def left_over(path):
+        """The bits that the blocks on a path haven't fixed."""
+        bits = list(range(BITS))
+        for i in filter(None, path.split(".")):
+            fixed = _blocks(max_bits + 1, bits)[int(i)]
+            bits = [b for b in bits if b not in fixed]
+        return bits
+
+    start = F.lit(0).cast("long")
+    dealt, ready = deal(classes.select("fp", start.alias("key"), F.lit("").alias("path")), list(range(BITS))), []
+    while True:
+        hot = dealt.groupBy("key", "path").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).select("key", "path")
+        hot = materialise(hot, "simhash-hot")
+        # paths are few: the blocks' numbers, one more with each round. A path that
+        # has fixed all bits can't be dealt again, and holds one code
+        paths = [p for p in (r.path for r in hot.select("path").distinct().collect()) if len(left_over(p)) > max_bits]
+        if not paths:
+            ready.append(dealt)
+            break
+        hot = hot.filter(F.col("path").isin(paths))
+        ready.append(dealt.join(hot, ["key", "path"], "left_anti"))
         # a pair in such a group also agrees on a block of the other bits
-        again = F.lit(None).cast("array<struct<sub:int,part:long>>")
-        for i, b in enumerate(blocks):
-            rest = [x for x in range(BITS) if x not in b]
-            parts = F.array(*[F.struct(F.lit(j).alias("sub"), _value(code, s).alias("part")) for j, s in enumerate(_blocks(max_bits + 1, rest))])
-            again = F.when(F.col("block") == i, parts).otherwise(again)
-        marked = dealt.join(hot.select("block", "value", F.lit(True).alias("hot")), ["block", "value"], "left")
-        once = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("part")))
-        dealt = marked.withColumn("s", F.explode(F.when(F.col("hot"), again).otherwise(once))).select("fp", "block", "value", "s.sub", "s.part")
-    else:
-        dealt = dealt.select("fp", "block", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("part"))
-    key = F.xxhash64("block", "value", "sub", "part")
+        again = materialise(dealt.join(hot, ["key", "path"], "left_semi").select("fp", "key", "path"), "simhash-again")
+        dealt = reduce(DataFrame.unionAll, [deal(again.filter(F.col("path") == p), left_over(p)) for p in paths])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.select("fp", key.alias("key")).repartition(n, "key").sortWithinPartitions("key", "fp")
+    grouped = reduce(DataFrame.unionAll, [d.select("fp", "key") for d in ready]).repartition(n, "key").sortWithinPartitions("key", "fp")
 
     def forest(keys, codes):
         order = np.lexsort((codes.view(np.uint64), keys))
