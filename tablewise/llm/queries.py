@@ -31,8 +31,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each different candidate of a document."""
-    trees = secrets.train(secrets.labelled_findings(spark))
-    found = secrets.findings(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), trees, path_col="source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.findings(docs, secrets.model_of(docs), path_col="source")
     # the outer form, as Spark pushes the plain one's filter below and computes findings twice
     rows = found.select("doc_id", F.explode_outer("findings").alias("c")).filter(F.col("c").isNotNull())
     return rows.select("doc_id", F.col("c.value").alias("candidate"), F.col("c.position").alias("position"), F.col("c.occurrences").alias("occurrences"), F.col("c.score").alias("score"), (F.col("c.score") > secrets.THRESHOLD).alias("is_secret"))
@@ -68,12 +68,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_labels(pages: DataFrame) -> DataFrame:
     """``pages`` with ``label``. The tables hold no labelled urls, so a page's body
-    labels its url: 0 if signs, shouting or an unsavoury host name mark it, else 1;
-    a third of the pages (by a hash) stays without a label."""
+    labels its url: 0 if over two hundredths of it are signs, else 1; its url is never
+    looked at. A third of the pages (by a hash) stays without a label."""
     body = F.regexp_replace(F.coalesce("html", F.lit("")), "(?s)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>", " ")
     junk = F.length(body) - F.length(F.regexp_replace(body, r"[#*$%|!]", "")) > 0.02 * F.length(body)
-    bad = junk | F.rlike(F.coalesce("url", F.lit("")), F.lit("://[^/]*(casino|pills|spam)"))
-    label = F.when(F.crc32(F.col("page_id").cast("string").cast("binary")) % 3 != 1, F.when(bad, 0).otherwise(1))
+    label = F.when(F.crc32(F.col("page_id").cast("string").cast("binary")) % 3 != 1, F.when(junk, 0).otherwise(1))
     return pages.select("page_id", "url", label.alias("label"))
 
 

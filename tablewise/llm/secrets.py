@@ -1,34 +1,44 @@
 """Secret scans: a random forest removes the false positives of a wide pattern.
 
 Candidates are runs of at least ``MIN_LENGTH`` key characters. Each gets features:
-its length, how unusual its character transitions are, how much of it common word
-pieces cover, whether its document's path looks like tests or samples, and what
-the words in front of it say. A random forest, trained with Spark ML on labelled
-findings, votes on each; the trees become conditional expressions, so scanning is
-one pass of Spark's own functions over the documents, without a shuffle.
-
-``labelled_findings`` makes such findings where a caller has none: random keys in
-their usual surroundings, and words, placeholders, links, hashes of builds and
+its length, how likely its character transitions are in the corpus' words, how much
+of it words of the corpus' dictionary cover, whether its document's path looks like
+tests or samples, and what the words in front of it say. A random forest, trained with
+Spark ML on labelled findings, votes on each; the trees become conditional expressions,
+so scanning is one pass of Spark's own functions over the documents, without a shuffle.
+
+``language`` counts all words of the corpus. Its dictionary holds the words that are at
+least one in ``WORD_SHARE`` of all, so never more than that many, whatever the corpus;
+it travels as a bitmap of their hashes, and the transitions as a table of 27 x 27.
+
+``labelled_findings`` makes findings where a caller has none: random keys in their
+usual surroundings, and the language's words, placeholders, links, hashes of builds and
 numbers that scanners take for keys.
 
 Null and empty texts hold no candidates; a null path is an empty one. A candidate
 that a text repeats is judged in all its surroundings, has the largest of their
-scores, and is counted; rows are judged one by one, so repeated rows and empty tables need no rule. Extra columns are kept by
-``redact``, and those named like results are replaced.
+scores, and is counted; rows are judged one by one, so repeated rows and empty tables
+need no rule. Texts may be of any length: the work on one is that of sorting its
+candidates. Extra columns are kept by ``redact``, and those named like results are
+replaced. A corpus without words has the ``WORD_PIECES`` for its language.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from functools import reduce
 from operator import add
+from typing import NamedTuple
 
+import xxhash
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import materialise, remove, without
 
 MIN_LENGTH = 16
 #: Candidates: runs of these signs, delimited by others.
@@ -41,6 +51,12 @@ DEPTH = 6
 #: Labelled findings that are made where none are given.
 FINDINGS = 6_000
 THRESHOLD = 0.5
+#: A dictionary word is at least one in so many words, which bounds their number.
+WORD_SHARE = 50_000
+#: Bits of the dictionary's bitmap, six in each byte; a word's hash sets those that
+#: its bits from these on tell.
+DICTIONARY_BITS = 1 << 20
+_FROM_BIT = (0, 32)
 #: Lengths that are added up at once.
 _BLOCK = 64
 _INTERNAL = [f"__tw_{x}" for x in ("all", "gaps", "placed", "heads", "scored", "values", "found", "steps", "sums", "offsets", "places", "held")]
@@ -57,20 +73,97 @@ _DECOY_WORDS = "(?i)(example|sample|dummy|placeholder|commit|sha1|sha256|md5|che
 _DECOY_PATHS = "(?i)(^|[/_.-])(test|tests|example|examples|sample|docs?|fixtures?|mock)([/_.-]|$)"
 
 FEATURES = (
-    "length", "digits", "uppers", "lowers", "transitions", "distinct", "pieces", "hexadecimal", "vowels",
-    "signs", "repeats", "key_word", "decoy_word", "assigned", "quoted", "known_head", "decoy_path", "runs",
+    "length", "digits", "uppers", "lowers", "transitions", "distinct", "dictionary", "hexadecimal", "vowels",
+    "signs", "repeats", "key_word", "decoy_word", "assigned", "quoted", "known_head", "decoy_path", "runs", "switches",
 )
 
 
+class Language(NamedTuple):
+    """What is known of a corpus' words: the most frequent ones, a bitmap of the
+    dictionary's hashes, and log2 of each transition's probability by 27 * from + to,
+    26 being all that isn't a letter."""
+
+    words: tuple[str, ...]
+    bitmap: bytes
+    transitions: tuple[float, ...]
+
+
+class Model(NamedTuple):
+    trees: list
+    language: Language
+
+
+def _language(words: list[str], pairs: dict[str, int]) -> Language:
+    """``words`` by falling frequency; ``pairs`` counts two signs, "^" for a word's ends."""
+    bitmap = bytearray(-(-DICTIONARY_BITS // 6))
+    for w in words:
+        for bit in _FROM_BIT:
+            at = xxhash.xxh64_intdigest(w, 42) >> bit & DICTIONARY_BITS - 1  # as Spark's xxhash64
+            bitmap[at // 6] |= 1 << at % 6
+    place = lambda c: ord(c) - 97 if "a" <= c <= "z" else 26
+    counts = [1.0] * (27 * 27)
+    for pair, n in pairs.items():
+        counts[27 * place(pair[0]) + place(pair[1])] += n
+    rows = [sum(counts[27 * i : 27 * i + 27]) for i in range(27)]
+    return Language(tuple(words[:300]), bytes(bitmap), tuple(math.log2(c / rows[i // 27]) for i, c in enumerate(counts)))
+
+
+def plain_language() -> Language:
+    pairs = Counter(f"^{w}^"[i : i + 2] for w in WORD_PIECES if w.isascii() for i in range(len(w) + 1))
+    return _language(list(dict.fromkeys(WORD_PIECES)), pairs)
+
+
+def language(docs: DataFrame, text_col: str = "text") -> Language:
+    """The language of all texts: one count of their lower-cased words of 2 to 32
+    letters a to z. The dictionary and 27 x 27 sums reach the driver."""
+    text = F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    words = docs.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).filter(F.length("word").between(2, 32))
+    counted = materialise(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    total = counted.agg(F.sum("n")).first()[0]
+    if not total:
+        return plain_language()
+    common = counted.filter((F.col("n") * WORD_SHARE >= total) & (F.length("word") >= 3)).collect()
+    ends = F.concat(F.lit("^"), "word", F.lit("^"))
+    pairs = counted.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(ends, i, F.lit(2)))).alias("pair"))
+    sums = {r.pair: r.total for r in pairs.groupBy("pair").agg(F.sum("n").alias("total")).collect()}
+    remove(counted)
+    return _language([r.word for r in sorted(common, key=lambda r: (-r.n, r.word))], sums)
+
+
+def _known(word: Column, bitmap: bytes) -> Column:
+    """Whether the dictionary's bitmap holds a word; of foreign ones it holds about
+    one in a hundred."""
+    out = F.lit(True)
+    for bit in _FROM_BIT:
+        at = F.shiftrightunsigned(F.xxhash64(word), bit).bitwiseAND(F.lit(DICTIONARY_BITS - 1)).cast("int")
+        byte = F.ascii(F.substr(F.lit(bitmap), F.floor(at / 6).cast("int") + 1, F.lit(1)).cast("string"))
+        out = out & (F.floor(byte / F.pow(F.lit(2.0), at % 6)) % 2 == 1)
+    return out
+
+
 def _gone(text: Column, signs: str) -> Column:
     """Characters of ``text`` that the pattern takes."""
     return (F.length(text) - F.length(F.regexp_replace(text, signs, ""))).cast("double")
 
 
-def features(value: Column, before: Column, path: Column) -> list[Column]:
+def _transitions(value: Column, table: tuple[float, ...]) -> Column:
+    """The mean log2 probability of the steps from sign to sign."""
+    code = lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97).otherwise(26)
+    codes = F.transform(F.split(F.lower(value), ""), code)
+    steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.length(value)), lambda x, y: F.get(F.lit(list(table)), 27 * x + y))
+    return F.aggregate(steps, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / F.greatest(F.length(value) - 1, F.lit(1))
+
+
+def _covered(value: Column, bitmap: bytes) -> Column:
+    """The share of signs in dictionary words; a word starts with any capital."""
+    words = F.regexp_extract_all(value, F.lit("([A-Z]?[a-z]{2,}|[A-Z]{3,})"), F.lit(1))
+    found = F.filter(words, lambda w: (F.length(w) >= 3) & _known(F.lower(w), bitmap))
+    return F.aggregate(found, F.lit(0), lambda a, w: a + F.length(w)).cast("double") / F.length(value)
+
+
+def features(value: Column, before: Column, path: Column, own: Language) -> list[Column]:
     """FEATURES of a candidate, the text in front of it, and its path."""
     n = F.length(value).cast("double")
-    pieces = "(?i)(" + "|".join(sorted(set(WORD_PIECES), key=lambda w: (-len(w), w))) + ")"
     switch = "(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"
     switches = F.length(F.regexp_replace(value, switch, "|")) - F.length(value)
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
@@ -79,9 +172,9 @@ def features(value: Column, before: Column, path: Column) -> list[Column]:
         _gone(value, "[0-9]") / n,
         _gone(value, "[A-Z]") / n,
         _gone(value, "[a-z]") / n,
-        switches.cast("double") / n,
+        _transitions(value, own.transitions),
         F.size(F.array_distinct(F.split(value, ""))).cast("double") / F.least(n, F.lit(40.0)),
-        _gone(value, pieces) / n,
+        _covered(value, own.bitmap),
         flag(F.rlike(value, F.lit("^([0-9a-f]+|[0-9A-F]+)$"))),
         _gone(value, "[aeiouAEIOU]") / n,
         _gone(value, "[+/_-]") / n,
@@ -93,13 +186,15 @@ def features(value: Column, before: Column, path: Column) -> list[Column]:
         flag(F.rlike(value, F.lit("^(AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|AIza|glpat-)"))),
         flag(F.rlike(path, F.lit(_DECOY_PATHS))),
         _gone(value, "(0123|1234|2345|3456|4567|5678|6789|abcd|bcde|cdef|qwer|asdf)") / n,
+        switches.cast("double") / n,
     ]
 
 
-def labelled_findings(spark: SparkSession, count: int = FINDINGS, seed: int = 5) -> DataFrame:
-    """(value, before, path, label): half keys (1), half decoys (0), from
-    seeded hashes alone."""
-    rows = spark.range(count, numPartitions=1)
+def labelled_findings(spark: SparkSession, count: int = FINDINGS, seed: int = 5, own: Language | None = None) -> DataFrame:
+    """(value, before, path, label): half keys (1), half decoys (0), from seeded
+    hashes and the language's words alone."""
+    pool = list((own or plain_language()).words)
+    rows = spark.range(count, numPartitions=1).withColumn("pool", F.split(F.lit(" ".join(pool)), " "))
     noise = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{seed}:{salt}")), 256)
     number = lambda salt, top: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(top)).cast("int")
     pick = lambda salt, words: F.element_at(F.array(*[F.lit(w) for w in words]), number(salt, len(words)) + 1)
@@ -117,9 +212,9 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS, seed: int = 5)
         4: (F.lower(cut(hexa, "l4", 18, 40)), pick("k4", ["password=", "pwd=", "token = \""])),
         5: (cut(mixed, "l5", 32, 44), pick("k5", prose)),
     }
-    piece = lambda salt: pick(salt, WORD_PIECES)
+    piece = lambda salt: F.element_at("pool", number(salt, len(pool)) + 1)
     word = F.concat(*[piece(f"w{i}") for i in range(8)])
-    longer = F.rpad(word, 18, "tionen")
+    longer = F.substr(F.repeat(word, 9), F.lit(1), number("wl", 14) + 16)
     decoys = {
         0: (longer, pick("d0", prose)),
         1: (F.initcap(longer), pick("d1", prose)),
@@ -147,13 +242,20 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS, seed: int = 5)
     return materialise(made, "labelled-findings")
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 3):
-    """Trees of nested tuples (feature, threshold, low, high), leaves being the
-    vote, from (value, before, path, label)."""
-    known = findings.select(*[c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("before"), F.coalesce("path", F.lit(""))))], F.col("label").cast("double").alias("label"))
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 3, own: Language | None = None) -> Model:
+    """A forest from (value, before, path, label): trees of nested tuples (feature,
+    threshold, low, high), leaves being the vote."""
+    own = own or plain_language()
+    known = findings.select(*[c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("before"), F.coalesce("path", F.lit("")), own))], F.col("label").cast("double").alias("label"))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="skip").transform(known)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
-    return [_parse(t.toDebugString) for t in forest.trees]
+    return Model([_parse(t.toDebugString) for t in forest.trees], own)
+
+
+def model_of(docs: DataFrame, text_col: str = "text") -> Model:
+    """The corpus' language, and a forest trained on findings made with it."""
+    own = language(docs, text_col)
+    return train(labelled_findings(docs.sparkSession, own=own), own=own)
 
 
 def _parse(text: str):
@@ -187,12 +289,12 @@ def _folded(tree):
     return low if low == high else (f, t, low, high)
 
 
-def score(trees, value) -> Column:
+def score(model: Model, value) -> Column:
     """The share of trees that vote for a key; ``value`` gives a feature."""
-    return reduce(add, [_vote(_folded(t), value) for t in trees]) / F.lit(float(len(trees)))
+    return reduce(add, [_vote(_folded(t), value) for t in model.trees]) / F.lit(float(len(model.trees)))
 
 
-def _judged(docs: DataFrame, trees, text_col: str, path_col: str | None) -> DataFrame:
+def _judged(docs: DataFrame, model: Model, text_col: str, path_col: str | None) -> DataFrame:
     """``docs`` with internal arrays: all candidates in order, the text between
     them, (value, before, at) sorted, and the judged ones (at, value, k, occurrences,
     score), where ``at`` counts candidates from 0 and is the first place, ``k`` is that
@@ -222,9 +324,9 @@ def _judged(docs: DataFrame, trees, text_col: str, path_col: str | None) -> Data
 
     step = step.select(*own, every, gaps, placed, F.filter(F.transform(placed, marked), lambda x: ~x["again"]).alias("__tw_heads"))
     kept = ("value", "k", "known")
-    described = F.transform(heads, lambda c: F.struct(*[c[x].alias(x) for x in kept], F.array(*features(c["value"], c["before"], path)).alias("f")))
+    described = F.transform(heads, lambda c: F.struct(*[c[x].alias(x) for x in kept], F.array(*features(c["value"], c["before"], path, model.language)).alias("f")))
     step = step.select(*own, every, gaps, placed, described.alias("__tw_scored"))
-    judged = F.transform(scored, lambda c: F.struct(*[c[x].alias(x) for x in kept], score(trees, lambda i: F.element_at(c["f"], i + 1)).alias("score")))
+    judged = F.transform(scored, lambda c: F.struct(*[c[x].alias(x) for x in kept], score(model, lambda i: F.element_at(c["f"], i + 1)).alias("score")))
     step = step.select(*own, every, gaps, placed, judged.alias("__tw_scored"))
     firsts = F.filter(F.transform(scored, lambda c, j: F.struct(c["value"].alias("value"), c["k"].alias("k"), j.alias("j"), c["known"].alias("known"))), lambda c: ~c["known"])
     step = step.select(*own, every, gaps, placed, scored, firsts.alias("__tw_values"))
@@ -240,13 +342,13 @@ def _judged(docs: DataFrame, trees, text_col: str, path_col: str | None) -> Data
     return step.select(*own, every, gaps, placed, found.alias("__tw_found"))
 
 
-def findings(docs: DataFrame, trees, text_col: str = "text", path_col: str | None = None) -> DataFrame:
+def findings(docs: DataFrame, model: Model, text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """``docs`` with ``findings``: an array of (value, position, occurrences,
     score), one for each different candidate of a text, in order."""
     docs = without(docs, "findings", *_INTERNAL)
     own = [F.col(f"`{c}`") for c in docs.columns]
     every, gaps, found, steps, sums, offsets = (F.col(f"__tw_{x}") for x in ("all", "gaps", "found", "steps", "sums", "offsets"))
-    judged = _judged(docs, trees, text_col, path_col)
+    judged = _judged(docs, model, text_col, path_col)
     # positions: lengths added up by blocks, so that no sum runs over the whole text
     reach = F.transform(gaps, lambda g, i: F.length(g) + F.coalesce(F.length(F.get(every, i - 1)), F.lit(0)))
     step = judged.select(*own, found, F.when(F.size(gaps) > 0, reach).alias("__tw_steps"))
@@ -266,13 +368,13 @@ def findings(docs: DataFrame, trees, text_col: str = "text", path_col: str | Non
     return step.select(*own, F.coalesce(F.when(some, F.transform(found, placed)), nothing).alias("findings"))
 
 
-def redact(docs: DataFrame, trees, text_col: str = "text", path_col: str | None = None, mark: str = "<SECRET>", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, model: Model, text_col: str = "text", path_col: str | None = None, mark: str = "<SECRET>", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with each secret replaced by ``mark``, and ``n_secrets``, the number
     of different ones."""
     docs = without(docs, "n_secrets", *_INTERNAL)
     own = [F.col(f"`{c}`") for c in docs.columns]
     every, gaps, order, found, places, held = (F.col(f"__tw_{x}") for x in ("all", "gaps", "placed", "found", "places", "held"))
-    judged = _judged(docs, trees, text_col, path_col).withColumn("__tw_found", F.filter(found, lambda c: c["score"] > threshold))
+    judged = _judged(docs, model, text_col, path_col).withColumn("__tw_found", F.filter(found, lambda c: c["score"] > threshold))
     at = F.flatten(F.transform(found, lambda c: F.transform(F.slice(order, c["k"] + 1, c["occurrences"]), lambda x: x["at"])))
     whole = F.transform(every, lambda v, i: F.concat(F.get(gaps, i), v))
     some = (F.size(found) > 0) & (F.size(order) > 0) & (F.size(gaps) > 0)
