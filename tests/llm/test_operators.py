@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import math
 import random
 import re
 import struct
@@ -109,7 +110,7 @@ def trees(spark):
 
 def test_forest_on_unseen_findings(spark, trees):
     held = secrets.labelled_findings(spark, 2000, seed=77)
-    f = held.select("label", F.array(*secrets.features(F.col("value"), F.col("before"), F.col("path"))).alias("f"))
+    f = held.select("label", F.array(*secrets.features(F.col("value"), F.col("before"), F.col("path"), trees.language)).alias("f"))
     right = f.select(((secrets.score(trees, lambda i: F.element_at("f", i + 1)) > 0.5).cast("int") == F.col("label")).alias("ok"))
     assert right.filter("ok").count() > 0.97 * 2000
 
@@ -303,21 +304,24 @@ def _check_packing(pieces, docs, path, window):
             got = b"".join(bytes(r.ids) for r in sorted(by[doc], key=lambda r: r.start) if r.doc_tokens == len(ids))
             assert got == np.array(ids, "<u4").tobytes(), doc
     assert sum(r.length for r in pieces) == sum(len(i) * n for (_, i), n in want.items())
-    padding = 0
+    padding, share = 0, max(1, window // 64)
     for s in sequences.values():
         at = 0
         for r in sorted(s, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
         assert at <= window
-        padding += 0 if at & (at - 1) == 0 else window - at
+        short = 0 if at & (at - 1) == 0 else window - at
+        assert short <= share
+        padding += short
     return padding
 
 
 @pytest.mark.parametrize("window", [64, 2048])
 def test_packing(odd, none, clash, window):
     path = public_tokenizers.path(queries.WORD_FILE)
-    assert _check_packing(packing.pack(odd, path, window=window).collect(), ODD, path, window) == 0
+    assert _check_packing(packing.pack(odd, path, window=window).collect(), ODD, path, window) <= 64 * window
+    assert _check_packing(packing.pack(odd, path, window=window, max_open=2, round_tokens=500).collect(), ODD, path, window) <= 64 * window
     assert packing.pack(none, path).count() == 0 and packing.pack(clash, path).select("doc_id").distinct().count() == 2
 
 
@@ -354,12 +358,39 @@ def test_placement_minimises_the_sum_of_squares():
         assert int((p.levels[1:w] ** 2).sum()) == best
 
 
-def test_open_windows_are_bounded():
-    p = packing.Packer(64, max_open=50)
-    done = [s for i in range(2000) for s in p.add(i, b"\0" * 4 * 33)]
-    assert p.count <= 51
-    done += p.finish()
-    assert sum(len(x[2]) // 4 for s in done for x in s) == 2000 * 33
+def test_open_windows_are_bounded_and_go_fullest_first():
+    p, gone = packing.Packer(64, max_open=50), []
+    rng = random.Random(2)
+    for i in range(2000):
+        gone += p.add(i, b"\0" * 4 * rng.randrange(33, 60))
+        spilled = p.spill()
+        assert p.count <= 50 and all(sum(len(x[2]) for x in w) // 4 >= max((h for h in range(64) if p.open[h]), default=0) for w in spilled)
+        gone += spilled
+    gone += p.spill(all_=True)
+    assert p.count == 0 and not p.levels.any() and sorted(x[0] for w in gone for x in w) == list(range(2000))
+
+
+@pytest.mark.parametrize("fill", [1, 31, 700, 2015, 2016, 2047])
+def test_windows_left_open_are_padded_or_cut(fill):
+    raw = np.arange(fill, dtype="<u4").tobytes()
+    pieces = [(1, 5, raw[: 4 * (fill // 3)], 9), (2, 0, raw[4 * (fill // 3) :], 9)]
+    out = packing.finish([x for x in pieces if x[2]], 2048)
+    assert b"".join(x[2] for s in out for x in s) == raw
+    sizes = [sum(len(x[2]) for x in s) // 4 for s in out]
+    assert sizes == [fill] if fill >= 2016 else all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_another_tokenizer_file_goes_through_the_whole_tokenizer(tmp_path):
+    path = public_tokenizers.path(queries.WORD_FILE)
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    other = text.replace('{"type":"Lowercase"}', '{"type":"Strip","strip_left":true,"strip_right":true}').replace('"type": "Lowercase"', '"type": "Strip", "strip_left": true, "strip_right": true')
+    assert other != text
+    (tmp_path / "other.json").write_text(other, encoding="utf-8")
+    own, whole = packing.WordCoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not own.known and packing.WordCoder(path).known
+    texts = ["Hello WORLD 12", "", "ABC'S"]
+    assert [list(np.frombuffer(r, "<u4")) for r in own.encode_batch(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # -- 7 ------------------------------------------------------------------------
@@ -414,6 +445,102 @@ def test_tree_is_not_bridged_by_branches_without_labels(spark):
     assert got == {"about": "allow", "new": "allow", "spam": "block"}
 
 
+def _far(bad, n, other_bad, other_n, limit):
+    if not n or not other_n:
+        return False
+    both = (bad + other_bad) / (n + other_n)
+    return abs(bad / n - other_bad / other_n) > limit * (both * (1 - both) * (1 / n + 1 / other_n)) ** 0.5
+
+
+def _brute_tree(rows):
+    """Templates of (segments, label) rows of one host, by recursion over lists."""
+    out = {}
+
+    def settle(rows, template):
+        for at, rest, _ in rows:
+            out[at] = template + ("/*" if rest else "")
+
+    def grow(rows, template):
+        good, bad = (sum(r[2] == x for r in rows) for x in (1, 0))
+        rests = {tuple(r[1]) for r in rows}
+        if not (good and bad and good + bad > urltree.SUPPORT and len(rests) > 1):
+            return settle(rows, template)
+        low, high = min(rests), max(rests)
+        skip = next((i for i, x in enumerate(low) if i >= len(high) or x != high[i]), len(low))
+        template += "".join(f"/{x}" for x in low[:skip])
+        branches = collections.defaultdict(list)
+        for at, rest, label in rows:
+            branches[rest[skip] if len(rest) > skip else ""].append((at, rest[skip + 1 :], label))
+        count = {s: (sum(r[2] == 1 for r in b), sum(r[2] == 0 for r in b)) for s, b in branches.items()}
+        limit = max(urltree.ALIKE, (2 * math.log(len(branches))) ** 0.5)
+        stands = {s for s, (g, b) in count.items() if s != "*" and g + b >= urltree.SUPPORT and _far(b, g + b, bad - b, good + bad - g - b, limit)}
+        steps = collections.defaultdict(list)
+        for s in stands:
+            g, b = count[s]
+            steps[math.floor(b / (g + b) * urltree.STEPS + 0.5)].append(s)
+        groups, sums = [], None
+        for _, some in sorted(steps.items()):
+            g, b = (sum(count[s][i] for s in some) for i in (0, 1))
+            if groups and not _far(b, g + b, sums[1], sum(sums), urltree.ALIKE):
+                groups[-1] += some
+                sums = (sums[0] + g, sums[1] + b)
+            else:
+                groups.append(list(some))
+                sums = (g, b)
+        names = {}
+        for group in groups:
+            group.sort()
+            name = "|".join(group[: urltree.NAMED]) + (f"|+{len(group) - urltree.NAMED}" if len(group) > urltree.NAMED else "")
+            names |= dict.fromkeys(group, name)
+        nodes = collections.defaultdict(list)
+        for s, b in branches.items():
+            nodes[names.get(s, "*")] += b
+        for name, some in nodes.items():
+            grow(some, f"{template}/{name}")
+
+    grow([(i, list(segs), label) for i, (segs, label) in enumerate(rows)], "")
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tree_against_brute_force(spark, seed):
+    rng, rows = random.Random(seed), []
+    for host in range(4):
+        share = {}
+        words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(rng.choice([3, 9, 40]))]
+        for _ in range(rng.choice([30, 300, 700])):
+            segs = [rng.choice(words[: rng.choice([2, 40])]) for _ in range(rng.randrange(1, 13))] if rng.random() < 0.5 else ["deep"] * rng.randrange(1, 12) + [rng.choice(words)]
+            bad = share.setdefault(segs[0], rng.choice([0, 0, 0.1, 0.9, 1]))
+            label = None if rng.random() < 0.2 or segs[0] == words[0] else int(rng.random() >= bad)
+            rows.append((host, f"http://h{host}/{'/'.join(segs)}", segs, label))
+    df = spark.createDataFrame([(i, u, l) for i, (_, u, _, l) in enumerate(rows)], "at long, url string, label int")
+    got = {r.at: (r.template, r.verdict) for r in urltree.judge(df, {}).collect()}
+    for host in range(4):
+        own = [i for i, r in enumerate(rows) if r[0] == host]
+        want = _brute_tree([rows[i][2:] for i in own])
+        sums = collections.defaultdict(lambda: [0, 0])
+        for j, i in enumerate(own):
+            if rows[i][3] is not None:
+                sums[want[j]][rows[i][3]] += 1
+        for j, i in enumerate(own):
+            bad, good = sums[want[j]]
+            assert got[i] == (want[j], "block" if (good + 4) / (good + bad + 5) < 0.5 else "allow")
+
+
+def test_tree_of_two_sections_and_one_unlabelled_url(spark):
+    got = _verdicts(spark, [("good", 200, 0, 0), ("bad", 0, 200, 0), ("mid", 0, 0, 1)])
+    assert got == {"good": "allow", "bad": "block", "mid": "allow"}
+
+
+def test_tree_keeps_columns_and_takes_long_urls(spark):
+    long = "http://h/" + "/".join(["x"] * 3_000)
+    rows = [(f"{long}/{kind}/{i}", label, "mine") for kind, label in (("ok", 1), ("spam", 0)) for i in range(12)] + [("http://h/" + "y" * 100_000, None, "mine")]
+    out = urltree.judge(spark.createDataFrame(rows, "url string, label int, segs string"), {})
+    assert out.columns[:3] == ["url", "label", "segs"] and {r.segs for r in out.select("segs").collect()} == {"mine"}
+    got = collections.Counter((r.url.split("/")[-2], r.verdict) for r in out.collect())
+    assert got["ok", "allow"] == 12 and got["spam", "block"] == 12
+
+
 # -- 8 ------------------------------------------------------------------------
 
 
@@ -516,6 +643,25 @@ def test_bpe(spark, odd, none, clash):
     assert bpe.encode(clash, path, public_tokenizers.PATTERN).columns.count("ids") == 1
 
 
+def test_bpe_of_long_white_space(spark):
+    path = public_tokenizers.path(queries.BPE_FILE)
+    own = bpe.coder(path, public_tokenizers.PATTERN)
+    runs = [" ", "\n", "\t\u3000 \x85\n", "\x1c ", "\r\n"]
+    shorter = [before + (run * n)[:n] + after for run in runs for n in (999, 1000, 1001, 5000) for before in ("", "x", "é.") for after in ("", "y", "'s", "1", "!", "\x1c")]
+    for text in shorter:
+        assert bpe.encode_text(own, text) == own.encode_ordinary(text)
+    texts = [a + (run * 1_000_000)[:1_000_000] + b for run in runs for a, b in (("", ""), ("x", "y"))]
+    out = bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), DOCS), path, public_tokenizers.PATTERN).collect()
+    assert all(bytes(r.raw) == texts[r.doc_id].encode() and len(r.ids_text.split()) == r.n_tokens for r in out) and len(out) == len(texts)
+
+
+def test_bpe_with_another_pattern_cuts_nothing():
+    path = public_tokenizers.path(queries.BPE_FILE)
+    own = bpe.coder(path, r"[a-z ]+|[^a-z ]+")
+    text = "a b " * 20_000 + " " * 3_000
+    assert bpe.encode_text(own, text) == own.encode_ordinary(text)
+
+
 # -- 10 -----------------------------------------------------------------------
 
 
@@ -534,11 +680,11 @@ def _brute_lines(docs):
     return out
 
 
-@pytest.mark.parametrize("part_keys", [1 << 20, 1])
-def test_line_dedup(spark, odd, part_keys):
+@pytest.mark.parametrize(("shard_keys", "probes"), [(1 << 17, 1 << 20), (2, 1 << 20), (2, 3), (1 << 17, 1)])
+def test_line_dedup(spark, odd, shard_keys, probes):
     extra = [(100 + i, "é" * 40 + "\n" + "É" * 40 + "\n" + "è" * 39) for i in range(6)]
     docs = odd.unionAll(spark.createDataFrame(extra, DOCS))
-    got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in linededup.dedup_lines(docs, part_keys=part_keys).collect())
+    got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in linededup.dedup_lines(docs, shard_keys=shard_keys, probes=probes).collect())
     assert got == _brute_lines(ODD + extra)
 
 
@@ -553,8 +699,9 @@ def test_perfect_hash():
     own = linededup.PerfectHash(keys)
     assert own.size == len(keys) and sorted(own.slots(keys)) == list(range(len(keys)))
     shard = linededup.Shard(keys, keys ^ np.uint64(5), np.full(len(keys), 7), np.arange(len(keys)))
-    hit, keeper = shard.probe(keys, keys ^ np.uint64(5))
-    assert hit.all() and (keeper == np.arange(len(keys))).all() and not shard.probe(keys, keys)[0].any()
+    for own in (shard, linededup.Shard.load(shard.dump())):
+        count, keeper = own.probe(keys, keys ^ np.uint64(5))
+        assert (count == 7).all() and (keeper == np.arange(len(keys))).all() and not own.probe(keys, keys)[0].any()
     assert (linededup.PerfectHash(keys[:0]).slots(keys) == -1).all()
 
 
