@@ -2,21 +2,23 @@
 
 The tree: urls are counted by host and path segments, runs of digits being one
 wildcard ``<n>`` from the start. A node is a host and what its urls' paths begin
-with, in the shape of a template. Its urls branch by their next segment (the end of
-a path is a segment of its own, the empty one):
+with, in the shape of a template. At a position of what follows, the urls that reach
+it branch by their segment there:
 
 - a branch stands if it has ``SUPPORT`` labels and its share of bad ones differs
   from that of all its siblings together by a two-proportion test, whose limit grows
-  with their number; all other branches, labelled or not, are the wildcard ``*``;
-- standing branches are merged, from the smallest share of bad labels on: each joins
-  the group before it unless the test tells it from the group's pooled counts.
-  Shares are first told apart in steps of 1/``STEPS``, which bounds what is compared;
-- a node goes on as long as it holds good and bad labels, more than ``SUPPORT`` of
-  them, and its urls differ in what follows; what all of them share is passed over at
-  once. Otherwise it is done: its template ends in ``*`` for whatever follows.
+  with the number of labelled branches;
+- a node is parted at the first position where a branch stands. Standing branches are
+  merged, from the smallest share of bad labels on: each joins the group before it
+  unless the test tells it from the group's pooled counts. Shares are first told apart
+  in steps of 1/``STEPS``, which bounds what is compared. All other branches, labelled
+  or not, are the wildcard ``*``, as are the segments passed over;
+- a url that ends before that position, or whose node is not parted, is done: its
+  template ends in ``*`` for whatever follows.
 
 So unlabelled branches never join labelled ones that stand, no number of branches or
-segments is too large, and a level costs the urls of undecided nodes only.
+segments is too large, and a round costs the urls of nodes that hold good and bad
+labels only, however long their paths.
 A template is rejected if the smoothed share of good labels among its labelled urls
 is too low. Labels are 1 (good), 0 (bad) or null (none). A null url, or one without
 "://", has an empty host and path and belongs to that host's tree. Repeated rows
@@ -32,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, remove, without
+from .common import materialise, without
 
 #: Standard deviations below which two shares count as alike.
 ALIKE = 1.64
@@ -85,13 +87,6 @@ def _far(bad: Column, n: Column, other_bad: Column, other_n: Column, limit: Colu
     return F.coalesce(F.abs(share - other) > limit * chance, F.lit(False))
 
 
-def _shared(low: Column, high: Column) -> Column:
-    """The number of leading segments that two arrays share."""
-    same = F.transform(low, lambda x, i: x.eqNullSafe(F.get(high, i)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(low)).cast("int")
-
-
 def _groups(standing: DataFrame, alike: float) -> DataFrame:
     """(host, template, step, grp): which steps of bad labels' shares are one group.
     A node has at most ``STEPS`` + 1 steps, whatever its branches."""
@@ -124,35 +119,46 @@ def _names(standing: DataFrame) -> DataFrame:
     return lists.join(sizes, group).select(*group, F.concat("list", more).alias("name"))
 
 
+def _standing(live: DataFrame, support: int, alike: float) -> DataFrame:
+    """(host, template, pos, seg, good, bad, step): the branches that stand, at the
+    first position of their node where any does."""
+    node = ["host", "template"]
+    sums = live.groupBy(*node).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    mixed = sums.filter((F.col("g") > 0) & (F.col("b") > 0) & (F.col("g") + F.col("b") > support)).select(*node)
+    known = live.filter(F.col("good") + F.col("bad") > 0).join(mixed, node, "left_semi")
+    branches = known.select(*node, "good", "bad", F.posexplode("rest").alias("pos", "seg")).groupBy(*node, "pos", "seg").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    level = branches.groupBy(*node, "pos").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("width"))
+    n, total = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
+    limit = F.greatest(F.lit(alike), F.sqrt(2 * F.log("width")))
+    # "*" itself is the wildcard's name
+    own = (n >= support) & (F.col("seg") != "*") & _far(F.col("bad"), n, F.col("all_bad") - F.col("bad"), total - n, limit)
+    step = F.round(F.try_divide("bad", n) * STEPS).cast("int")
+    stand = materialise(branches.join(level, [*node, "pos"]).filter(own).select(*node, "pos", "seg", "good", "bad", step.alias("step")), "url-branches")
+    first = stand.groupBy(*node).agg(F.min("pos").alias("pos"))
+    return stand.join(first, [*node, "pos"])
+
+
 def templates(paths: DataFrame, support: int = SUPPORT, alike: float = ALIKE) -> DataFrame:
     """``paths`` (host, path segments ``segs``, good, bad) with ``template``."""
     node, columns = ["host", "template"], [*paths.columns, "template"]
     live, settled = paths.withColumn("template", F.lit("")).withColumn("rest", F.col("segs")), []
+    done = F.when(F.size("rest") > 0, F.concat("template", F.lit("/*"))).otherwise(F.col("template"))
     while True:
-        sums = live.groupBy(*node).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.min("rest").alias("low"), F.max("rest").alias("high"))
-        mixed = (F.col("all_good") > 0) & (F.col("all_bad") > 0) & (F.col("all_good") + F.col("all_bad") > support) & (F.col("low") != F.col("high"))
-        going = materialise(sums.filter(mixed).select(*node, "all_good", "all_bad", _shared(F.col("low"), F.col("high")).alias("skip")), "url-nodes")
-        done = live.join(going, node, "left_anti")
-        ends = F.when(F.size("rest") > 0, F.concat("template", F.lit("/*"))).otherwise(F.col("template"))
-        settled.append(done.withColumn("template", ends).select(*columns))
-        if going.isEmpty():
+        standing = _standing(live, support, alike)
+        if standing.isEmpty():
+            settled.append(live.withColumn("template", done).select(*columns))
             return reduce(DataFrame.unionAll, settled)
-        at = live.join(going, node).withColumn("seg", F.coalesce(F.get("rest", F.col("skip")), F.lit("")))
-        branches = at.groupBy(*node, "seg").agg(
-            F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.first("all_good").alias("all_good"), F.first("all_bad").alias("all_bad"))
-        widths = branches.groupBy(*node).agg(F.count("*").alias("width"))
-        n, total = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
-        limit = F.greatest(F.lit(alike), F.sqrt(2 * F.log("width")))
-        own = (n >= support) & (F.col("seg") != "*") & _far(F.col("bad"), n, F.col("all_bad") - F.col("bad"), total - n, limit)
-        step = F.round(F.try_divide("bad", n) * STEPS).cast("int")
-        standing = materialise(branches.join(widths, node).filter(own).select(*node, "seg", "good", "bad", step.alias("step")), "url-branches")
         grouped = standing.join(_groups(standing, alike), [*node, "step"])
-        named = grouped.join(_names(grouped), [*node, "grp"]).select(*node, "seg", "name")
-        passed = F.transform(F.slice("rest", F.lit(1), F.col("skip")), lambda x: F.concat(F.lit("/"), x))
-        template = F.concat("template", F.array_join(passed, ""), F.lit("/"), F.coalesce("name", F.lit("*")))
-        rest = F.slice("rest", F.col("skip") + 2, F.size("rest"))
-        live = materialise(at.join(named, [*node, "seg"], "left").withColumn("template", template).select(*columns, rest.alias("rest")), "url-level")
-        remove(standing)
+        named = grouped.join(_names(grouped), [*node, "grp"]).select(*node, F.col("seg").alias("next"), "name")
+        at = live.join(standing.select(*node, "pos").distinct(), node, "left").withColumn("next", F.get("rest", F.col("pos")))
+        template = F.concat("template", F.repeat(F.lit("/*"), F.col("pos")), F.lit("/"), F.coalesce("name", F.lit("*")))
+        rest = F.slice("rest", F.col("pos") + 2, F.size("rest"))
+        going = F.col("next").isNotNull()
+        step = at.join(named, [*node, "next"], "left").select(
+            *paths.columns, F.when(going, template).otherwise(done).alias("template"), F.when(going, rest).alias("rest"))
+        step = materialise(step, "url-level")
+        settled.append(step.filter(F.col("rest").isNull()).select(*columns))
+        live = step.filter(F.col("rest").isNotNull())
 
 
 def judge(

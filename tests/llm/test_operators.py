@@ -460,23 +460,29 @@ def _brute_tree(rows):
         for at, rest, _ in rows:
             out[at] = template + ("/*" if rest else "")
 
+    def stands(rows, pos):
+        branches = collections.defaultdict(lambda: [0, 0])
+        for _, rest, label in rows:
+            if len(rest) > pos and label is not None:
+                branches[rest[pos]][label] += 1
+        bad, good = (sum(c[i] for c in branches.values()) for i in (0, 1))
+        limit = max(urltree.ALIKE, (2 * math.log(max(1, len(branches)))) ** 0.5)
+        return {s: (g, b) for s, (b, g) in branches.items() if s != "*" and g + b >= urltree.SUPPORT and _far(b, g + b, bad - b, good + bad - g - b, limit)}
+
     def grow(rows, template):
         good, bad = (sum(r[2] == x for r in rows) for x in (1, 0))
-        rests = {tuple(r[1]) for r in rows}
-        if not (good and bad and good + bad > urltree.SUPPORT and len(rests) > 1):
+        longest = max((len(r[1]) for r in rows), default=0) if good and bad and good + bad > urltree.SUPPORT else 0
+        pos, count = next(((p, c) for p in range(longest) if (c := stands(rows, p))), (0, {}))
+        if not count:
             return settle(rows, template)
-        low, high = min(rests), max(rests)
-        skip = next((i for i, x in enumerate(low) if i >= len(high) or x != high[i]), len(low))
-        template += "".join(f"/{x}" for x in low[:skip])
+        settle([r for r in rows if len(r[1]) <= pos], template)
+        template += "/*" * pos
         branches = collections.defaultdict(list)
         for at, rest, label in rows:
-            branches[rest[skip] if len(rest) > skip else ""].append((at, rest[skip + 1 :], label))
-        count = {s: (sum(r[2] == 1 for r in b), sum(r[2] == 0 for r in b)) for s, b in branches.items()}
-        limit = max(urltree.ALIKE, (2 * math.log(len(branches))) ** 0.5)
-        stands = {s for s, (g, b) in count.items() if s != "*" and g + b >= urltree.SUPPORT and _far(b, g + b, bad - b, good + bad - g - b, limit)}
+            if len(rest) > pos:
+                branches[rest[pos]].append((at, rest[pos + 1 :], label))
         steps = collections.defaultdict(list)
-        for s in stands:
-            g, b = count[s]
+        for s, (g, b) in count.items():
             steps[math.floor(b / (g + b) * urltree.STEPS + 0.5)].append(s)
         groups, sums = [], None
         for _, some in sorted(steps.items()):
