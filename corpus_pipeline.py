@@ -44,9 +44,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; documents stay."""
-    trees = secrets.train(secrets.labelled_findings(spark))
     path = "source" if "source" in docs.columns else None
-    return _as_documents(secrets.redact(docs, trees, path_col=path), docs)
+    return _as_documents(secrets.redact(docs, secrets.model_of(docs), path_col=path), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
