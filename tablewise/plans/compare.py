@@ -1,9 +1,10 @@
 """The comparison of two tables, from sources to result.
 
 Jobs: one groups the stacked narrow sides by key, and tells membership, equality,
-repeated keys and key ranges at once; where rows differ, a second one reads only
-the differing keys' rows and counts by column; two small ones fetch samples. With
-rules (tolerances and the like) the second reads all common rows.
+repeated keys and key ranges at once; as it goes it writes the keys that differ (with
+``common_keys_only`` and rules: those in common) to the shared folder. Where rows
+differ, a second job reads only these keys' rows and counts by column, and a third
+fetches samples. With rules (tolerances and the like) the second reads all common rows.
 """
 
 from __future__ import annotations
@@ -13,19 +14,20 @@ from collections import defaultdict
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.equality import is_comparable, is_nested, matches
-from ..operators import column_mismatches, outside_range
+from ..operators import column_mismatches
 from ..operators.details import differs, flagged, joined, right_name, sample_keys
 from ..operators.membership import row_states, same_key, stacked
 from ..results import ColumnStat, ColumnSummary, ComparisonResult, ExecutionInfo, RowSummary, SampleTable, TypeMismatch
-from ..settings import AUTO_WINDOW_CELLS, AUTO_WINDOW_MIN_ROWS, CompareSettings, SourceOptions, tolerance_of
+from ..settings import AUTO_WINDOW_CELLS, AUTO_WINDOW_MIN_ROWS, CACHE_CELLS, CompareSettings, SourceOptions, tolerance_of
 from ..sources import open_source
+from ..sources.shared import remove, reread, shared_path
 from .schema import Alignment, align_schemas, normalize_schema, type_name
-from .windows import KeyStats, key_overlap, key_stats, plan_windows, resolve_window_rows
+from .windows import KeyStats, grid, rows_per_part, shared_range
 
 #: Why a path was taken.
 _WHY_RULES = "tolerances, string options or custom comparators are enabled"
@@ -53,6 +55,7 @@ class Comparison:
         self.path, self.reason = None, ""
         self.windows, self.rows_per_window = 1, None
         self.kept: list[DataFrame] = []
+        self.written: list[str] = []
         self.keys = [settings.name(k) for k in settings.join_columns]
         with self.timed("open"):
             self._open(left, right, source, spark)
@@ -132,45 +135,35 @@ class Comparison:
     def _whole_key(self) -> bool:
         return isinstance(self.alignment.types[self.keys[0]], (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
-    def _restrict(self) -> tuple[list[int], list[int], list[KeyStats] | None, tuple[int, int] | None]:
-        """With ``common_keys_only``, both sides keep their rows in the common key
-        range (and null keys); counts and repeated keys of the others."""
-        if not (self.settings.common_keys_only and self._whole_key()):
-            return [0, 0], [0, 0], None, None
-        key = self.own_keys[0]
-        stats = [key_stats(x, key) for x in (self.left, self.right)]
-        bounds = key_overlap(*stats)
-        away, surplus = [], []
-        for side in (self.left, self.right):
-            n = F.col("n")
-            row = outside_range(side, key, bounds).groupBy(*self.own_keys).agg(F.count("*").alias("n")).agg(F.sum(n), F.sum(n - 1)).first()
-            away.append(row[0] or 0)
-            surplus.append(row[1] or 0)
-        k = F.col(key)
-        inside = k.isNull() if bounds is None else k.isNull() | k.between(*bounds)
-        self.left, self.right = self.left.filter(inside), self.right.filter(inside)
-        return away, surplus, stats, bounds
-
-    def _grouped(self) -> tuple:
-        """The one pass over both sides: state counts, repeated keys, key ranges."""
+    def _grouped(self) -> tuple[dict, DataFrame | None]:
+        """The one pass over both sides: state counts, repeated keys, key ranges, and
+        the keys whose rows are read next (None: not asked for). The counts are taken
+        in the stage that writes the keys, whose tasks count once however often they
+        are tried."""
         s = stacked(self.left, self.right, self.own_keys, self.own_columns if self.path == "hash" else [])
         has_l, has_r, same = F.col("__nl") > 0, F.col("__nr") > 0, F.col("__hl") == F.col("__hr")
         k0 = F.col(self.own_keys[0])
-        whole = self._whole_key()
         total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-        ends = [f(F.when(side, k0)) if whole else F.lit(None) for side in (has_l, has_r) for f in (F.min, F.max)]
-        wants_states = self.path == "hash" and self.settings.column_details and self.alignment.compared
-        if wants_states and self.settings.cache_windows is not False:
-            s = self._keep(s)
-        self.groups = s
-        return s.agg(
-            F.count_if(has_l & has_r), F.count_if(has_l & has_r & ~same),
-            total(F.when(~has_r, F.col("__nl"))), total(F.when(~has_l, F.col("__nr"))),
-            total(F.greatest(F.col("__nl") - 1, F.lit(0))), total(F.greatest(F.col("__nr") - 1, F.lit(0))),
-            total(F.col("__nl")), total(F.col("__nr")), total(F.when(k0.isNull(), F.col("__nl"))), total(F.when(k0.isNull(), F.col("__nr"))), *ends,
-        ).first()
+        told = {"both": F.count_if(has_l & has_r), "differ": F.count_if(has_l & has_r & ~same)}
+        for name, own, n, other in (("l", has_l, F.col("__nl"), has_r), ("r", has_r, F.col("__nr"), has_l)):
+            told |= {
+                f"only_{name}": total(F.when(~other, n)), f"surplus_{name}": total(F.greatest(n - 1, F.lit(0))),
+                f"n_{name}": total(n), f"nulls_{name}": total(F.when(k0.isNull(), n)),
+            }
+            if self._whole_key():
+                told |= {f"lo_{name}": F.min(F.when(own, k0)), f"hi_{name}": F.max(F.when(own, k0))}
+        counts = [c.alias(name) for name, c in told.items()]
+        if not self.own_columns or not (self.settings.column_details if self.path == "hash" else self.settings.common_keys_only):
+            return s.agg(*counts).first().asDict(), None
+        wanted = has_l & has_r & ~same if self.path == "hash" else has_l & has_r
+        seen, path = Observation("groups"), shared_path(s.sparkSession, "keys")
+        keys = s.observe(seen, *counts).filter(wanted).select(*self.own_keys)
+        self.written.append(path)
+        keys.write.parquet(path)
+        return seen.get, reread(keys, path)
 
-    def _plan(self, left: KeyStats, right: KeyStats, bounds) -> None:
+    def _plan(self, left: KeyStats, right: KeyStats) -> None:
+        """Report the grid of key ranges that the options ask for."""
         s = self.settings
         if s.window_rows is None and not s.common_keys_only:
             return
@@ -179,11 +172,16 @@ class Comparison:
                 self.warnings.append(f"window_rows ignored: the first join key '{self.keys[0]}' is not an integer column")
             return
         width = len(self.alignment.compared) + len(self.keys)
-        self.rows_per_window = resolve_window_rows(s.window_rows, left, right, window_cells=AUTO_WINDOW_CELLS, min_rows=AUTO_WINDOW_MIN_ROWS, n_cols=width)
-        if s.common_keys_only and bounds is None:
-            self.windows = int(bool(left.nulls or right.nulls))
-        else:
-            self.windows = len(plan_windows(left, right, self.rows_per_window, bounds))
+        self.rows_per_window = rows_per_part(s.window_rows, AUTO_WINDOW_CELLS, AUTO_WINDOW_MIN_ROWS, width, left, right)
+        self.windows = len(grid(self.rows_per_window, left, right, shared_only=s.common_keys_only))
+
+    def _pruned(self, left: KeyStats, right: KeyStats) -> None:
+        """With ``common_keys_only`` scans keep to the range that both sides share."""
+        if not (self.settings.common_keys_only and self._whole_key()):
+            return
+        k, ends = F.col(self.own_keys[0]), shared_range(left, right)
+        inside = k.isNull() if ends is None else k.isNull() | k.between(*ends)
+        self.left, self.right = self.left.filter(inside), self.right.filter(inside)
 
     def result(self) -> ComparisonResult:
         try:
@@ -191,90 +189,84 @@ class Comparison:
         finally:
             for df in self.kept:
                 df.unpersist()
+            for path in self.written:
+                remove(self.left.sparkSession, path)
 
     def _run(self) -> ComparisonResult:
         if self.errors:
             return self._made()
         s = self.settings
-        with self.timed("plan"):
-            away, surplus, stats, bounds = self._restrict()
-        with self.timed("compare"):
-            if s.cache_windows is True:
+        if s.cache_windows is True:
+            with self.timed("cache"):
                 self.left, self.right = self._keep(self.left), self._keep(self.right)
-            (both, differ, only_l, only_r, dup_l, dup_r, n_l, n_r, null_l, null_r, lo_l, hi_l, lo_r, hi_r) = self._grouped()
-        self._plan(*(stats or (KeyStats(n_l, null_l, lo_l, hi_l), KeyStats(n_r, null_r, lo_r, hi_r))), bounds)
-        repeated = (dup_l + surplus[0], dup_r + surplus[1])
+        with self.timed("compare"):
+            g, keys = self._grouped()
+        both, differ, repeated = g["both"], g["differ"], (g["surplus_l"], g["surplus_r"])
+        stats = [KeyStats(g[f"n_{x}"], g[f"nulls_{x}"], g.get(f"lo_{x}"), g.get(f"hi_{x}")) for x in "lr"]
+        self._plan(*stats)
+        cells = sum(x.n for x in stats) * (len(self.own_columns) + len(self.own_keys))
+        if s.cache_windows is True and cells > CACHE_CELLS:
+            self.warnings.append(f"cache_windows keeps {cells:,} cells, which may fill the executors' memory and disks")
         if s.check_duplicate_keys and any(repeated):
             self.errors += [f"Duplicate join keys in the {side} table: {n:,} surplus rows" for side, n in zip(("left", "right"), repeated) if n]
             return self._made()
+        self._pruned(*stats)
         counts: dict[str, int] = {}
         samples: dict[str, list] = {}
         if self.path == "hash":
-            if dup_l or dup_r:  # unchecked: every joined pair counts
-                with self.timed("compare"):
+            if any(repeated):  # unchecked: every joined pair counts
+                with self.timed("duplicates"):
                     states = row_states(self.left, self.right, self.own_keys, self.own_columns, unique=False)
                     by = {r.state: r["count"] for r in states.groupBy("state").count().collect()}
                     both, differ = by.get(0, 0) + by.get(1, 0), by.get(1, 0)
                     keys = states.filter("state = 1").select(*self.own_keys).distinct()
-            else:
-                keys = self.groups.filter("__nl > 0 and __nr > 0 and __hl <> __hr").select(*self.own_keys)
             if differ and s.column_details and self.own_columns:
                 with self.timed("details"):
-                    rows = joined(self.left, self.right, self.own_keys, self.own_columns, keys)
-                    counts, samples, _, _ = self._details(rows)
-        elif self.own_columns:
-            with self.timed("compare"):
-                rows = joined(self.left, self.right, self.own_keys, self.own_columns)
-                counts, samples, both, differ = self._details(rows)
-        elif dup_l or dup_r:
-            both = joined(self.left, self.right, self.own_keys, []).count()
+                    differ, counts, samples = self._details(joined(self.left, self.right, self.own_keys, self.own_columns, keys))
+        else:
+            if any(repeated):
+                with self.timed("duplicates"):
+                    both = joined(self.left, self.right, self.own_keys, []).count()
+            if self.own_columns:
+                with self.timed("details"):
+                    differ, counts, samples = self._details(joined(self.left, self.right, self.own_keys, self.own_columns, keys))
         summary = RowSummary(
-            left_total=both + only_l + away[0], right_total=both + only_r + away[1], common=both,
-            left_only=only_l + away[0], right_only=only_r + away[1], mismatched=differ,
+            left_total=both + g["only_l"], right_total=both + g["only_r"], common=both, left_only=g["only_l"], right_only=g["only_r"],
+            mismatched=differ, matched=both - differ, mismatch_rate=differ / both if both else 0.0,
         )
         return self._made(summary, counts if s.column_details else {}, samples if s.column_details else {})
 
-    def _details(self, rows: DataFrame) -> tuple[dict[str, int], dict[str, list], int, int]:
-        """Counts by column, samples, and the numbers of common and differing rows."""
+    def _details(self, rows: DataFrame) -> tuple[int, dict[str, int], dict[str, list]]:
+        """The number of differing rows, counts by column, and samples, from one join:
+        the rows that differ are kept until the samples are there."""
         s, own = self.settings, self.own_columns
-        marked = flagged(rows, self.matches())
+        different = flagged(rows, self.matches()).filter(differs(own))
         wants_samples = s.column_details and s.sample_count > 0
-        different = marked.filter(differs(own))
-        if self.path == "columnwise":
-            narrow = own if len(own) <= s.columns_per_batch else []  # one aggregate tells all
-            row = marked.agg(F.count("*"), F.count_if(differs(own)), *[F.count_if(~F.col(f"__m_{c}")) for c in narrow]).first()
-            both, differ, by = row[0], row[1], dict(zip(narrow, row[2:]))
-            if not narrow:
-                different = self._keep(different)
-                by = dict(column_mismatches(different, own, s.columns_per_batch).collect())
+        several = len(own) > s.columns_per_batch
+        if wants_samples or several:
+            different = self._keep(different)
+        if several:
+            differ, by = different.count(), dict(column_mismatches(different, own, s.columns_per_batch).collect())
         else:
-            if wants_samples:
-                different = self._keep(different)
-            both = differ = 0
-            by = dict(column_mismatches(different, own, s.columns_per_batch).collect())
-        samples = self._samples(different, [c for c in own if by[c]]) if wants_samples and any(by.values()) else {}
+            differ, *each = different.agg(F.count("*"), *[F.count_if(~F.col(f"__m_{c}")) for c in own]).first()
+            by = dict(zip(own, each))
+        samples = self._samples(different, [c for c in own if by[c]]) if wants_samples and differ else {}
         outer = {v: k for k, v in self.inner.items()}
-        return {outer[c]: n for c, n in by.items()}, {outer[c]: v for c, v in samples.items()}, both, differ
+        return differ, {outer[c]: n for c, n in by.items()}, {outer[c]: v for c, v in samples.items()}
 
     def _samples(self, different: DataFrame, columns: list[str]) -> dict[str, list]:
-        """The first differing rows of each column: which ones, then their values;
-        at most ``sample_count`` rows a column reach the driver."""
+        """The first differing rows of each column, by key, nulls first. Narrow rows
+        tell which keys come first; their rows are ranked once more, since a key may
+        have many, so that ``sample_count`` rows a column reach the driver."""
         count, keys = self.settings.sample_count, self.own_keys
-        picked = sample_keys(different, keys, columns, count).collect()
-        spark = different.sparkSession
-        schema = T.StructType([different.schema[k] for k in keys])
-        wanted = spark.createDataFrame(list({tuple(r[k] for k in keys) for r in picked}), schema)
-        found = different.join(F.broadcast(wanted), same_key(different, wanted, keys), "left_semi").collect()
-        by_key = defaultdict(list)
-        for r in found:
-            by_key[_plain_key(r[k] for k in keys)].append(r)
+        first = sample_keys(different, keys, columns, count).select(*keys).distinct()
+        found = different.join(F.broadcast(first), same_key(different, first, keys), "left_semi")
+        names = F.array_compact(F.array(*[F.when(~F.col(f"__m_{c}"), F.lit(c)) for c in columns]))
+        order = Window.partitionBy("__column").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+        ranked = found.withColumn("__column", F.explode(names)).withColumn("__rank", F.row_number().over(order))
         out: dict[str, list] = defaultdict(list)
-        taken: dict[tuple, int] = defaultdict(int)
-        for p in sorted(picked, key=lambda p: (p["__column"], p["__rank"])):
-            c, key = p["__column"], _plain_key(p[k] for k in keys)
-            rows = [r for r in by_key[key] if not r[f"__m_{c}"]]
-            r = rows[taken[c, key] % len(rows)]
-            taken[c, key] += 1
+        for r in sorted(ranked.filter(F.col("__rank") <= count).collect(), key=lambda r: (r["__column"], r["__rank"])):
+            c = r["__column"]
             out[c].append([*[r[k] for k in keys], r[c], r[right_name(c)]])
         return out
 
@@ -303,8 +295,3 @@ class Comparison:
             left_name=s.left_name, right_name=s.right_name, join_columns=self.keys, rows=rows, columns=columns, column_stats=stats,
             samples=tables, fatal_errors=self.errors, warnings=self.warnings, execution=execution,
         )
-
-
-def _plain_key(values) -> tuple:
-    """A key to look up: NaN is one value."""
-    return tuple("NaN" if isinstance(v, float) and v != v else str(v) if isinstance(v, (list, dict)) else v for v in values)

@@ -1,12 +1,14 @@
-"""Ranges of the first key column: statistics, overlap, and windows of them.
+"""The first key column's range, and a grid of equal parts over it.
 
-Spark deals rows out by itself, so windows bound no memory here; they are planned
-for reports, for counts by range, and to prune scans to the common range.
+Spark deals rows out by itself, so the grid bounds no memory here: it is reported,
+numbers rows for counts by part, and the range that both sides share prunes scans.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,20 +21,37 @@ class KeyStats:
     lo: int | None
     hi: int | None
 
+    def share(self, lo: int, hi: int) -> Fraction:
+        """The part of this side's keys that lies in a range, were they dense."""
+        if self.lo is None:
+            return Fraction(0)
+        inside = range(max(lo, self.lo), min(hi, self.hi) + 1)
+        return Fraction(len(inside), len(range(self.lo, self.hi + 1)))
+
 
 @dataclass(frozen=True)
-class Window:
-    """Keys from lo up to hi (not included); or the null keys; or all."""
+class Grid:
+    """Parts of ``width`` keys from ``lo`` to ``hi`` (both included), then one for null
+    keys if there are any. Without a range there is no part, or one for all rows."""
 
-    index: int
     lo: int | None = None
     hi: int | None = None
-    null_keys: bool = False
+    width: int = 1
+    nulls: bool = False
+    whole: bool = False
+
+    def __len__(self) -> int:
+        ranged = 0 if self.lo is None else len(range(self.lo, self.hi + 1, self.width))
+        return 1 if self.whole else ranged + self.nulls
 
-    def holds(self, key: str) -> Column | None:
-        if self.null_keys:
-            return F.col(key).isNull()
-        return None if self.lo is None else (F.col(key) >= self.lo) & (F.col(key) < self.hi)
+    def id(self, key: str) -> Column:
+        """The number of the part that holds a key; null outside of all."""
+        if self.whole:
+            return F.lit(0)
+        k, at = F.col(key).cast("long"), F.lit(None)
+        if self.lo is not None:
+            at = F.when(k.between(self.lo, self.hi), F.floor((k - F.lit(self.lo)) / F.lit(self.width)))
+        return F.when(k.isNull(), F.lit(len(self) - 1 if self.nulls else None)).otherwise(at).cast("int")
 
 
 def key_stats_frame(df: DataFrame, key: str) -> DataFrame:
@@ -41,63 +60,37 @@ def key_stats_frame(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(k.isNull()).alias("nulls"), F.min(k).alias("lo"), F.max(k).alias("hi"))
 
 
-def key_stats(df: DataFrame, key: str) -> KeyStats:
-    return KeyStats(*key_stats_frame(df, key).first())
-
-
-def resolve_window_rows(setting, left: KeyStats, right: KeyStats, *, window_cells: int, min_rows: int, n_cols: int = 1) -> int | None:
-    """Rows of a window; None: one window. "auto" splits tables of more cells than
-    ``window_cells``."""
-    if setting != "auto":
-        return setting
-    width = max(1, n_cols)
-    return max(min_rows, window_cells // width) if max(left.n, right.n) * width > window_cells else None
-
-
-def key_overlap(left: KeyStats, right: KeyStats) -> tuple[int, int] | None:
-    """The range, ends included, in which both sides have keys."""
-    if None in (left.lo, right.lo):
+def shared_range(*sides: KeyStats) -> tuple[int, int] | None:
+    """The range, ends included, in which all sides have keys."""
+    if any(s.lo is None for s in sides):
         return None
-    lo, hi = max(left.lo, right.lo), min(left.hi, right.hi)
-    return None if lo > hi else (lo, hi)
-
-
-def rows_in_range(stats: KeyStats, lo: int, hi: int) -> int:
-    """Rows in the range, were the keys dense; rounded up."""
-    if stats.lo is None:
-        return 0
-    shared = max(0, min(hi, stats.hi) - max(lo, stats.lo) + 1)
-    return -((stats.nulls - stats.n) * shared // (stats.hi - stats.lo + 1))
-
-
-def plan_windows(left: KeyStats, right: KeyStats, rows: int | None, bounds: tuple[int, int] | None = None) -> list[Window]:
-    """Windows of equal width over all keys, or over ``bounds``; one more for null
-    keys. Without bounds, what fits one window is not split at all."""
-    sides = [s for s in (left, right) if s.lo is not None]
-    nulls = left.nulls > 0 or right.nulls > 0
-    if bounds:
-        lo, hi = bounds
-        n = max(rows_in_range(s, lo, hi) for s in (left, right))
-    else:
-        n = max(left.n, right.n)
-        if rows is None or n <= rows or not sides:
-            return [Window(0)]
-        lo, hi = min(s.lo for s in sides), max(s.hi for s in sides)
-    parts = 1 if rows is None else max(1, -(-n // rows))
-    width = max(1, -(-(hi - lo + 1) // parts))
-    out = [Window(i, at, min(at + width, hi + 1)) for i, at in enumerate(range(lo, hi + 1, width))]
-    return [*out, Window(len(out), null_keys=True)] if nulls else out
-
-
-def window_id(key: str, windows: list[Window]) -> Column:
-    """The index of the window that holds a key; null outside of all."""
-    ranged = [w for w in windows if w.lo is not None]
-    nulls = next((w.index for w in windows if w.null_keys), None)
-    if not ranged:
-        at = F.lit(windows[0].index if windows and not windows[0].null_keys else None)
+    ends = max(s.lo for s in sides), min(s.hi for s in sides)
+    return ends if ends[0] <= ends[1] else None
+
+
+def rows_per_part(asked: int | str | None, cells: int, floor: int, columns: int, *sides: KeyStats) -> int | None:
+    """What ``window_rows`` asks for; "auto" parts only sides of over ``cells`` cells,
+    into parts of about that many. None: one part."""
+    if asked != "auto":
+        return asked
+    per_row = max(columns, 1)
+    return max(cells // per_row, floor) if any(s.n * per_row > cells for s in sides) else None
+
+
+def grid(rows: int | None, *sides: KeyStats, shared_only: bool = False) -> Grid:
+    """Parts of about ``rows`` rows of the larger side: over all keys, where one part
+    is enough for what fits into it, or over the shared range only."""
+    nulls = any(s.nulls for s in sides)
+    keyed = [s for s in sides if s.lo is not None]
+    if shared_only:
+        ends = shared_range(*sides)
+        if ends is None:
+            return Grid(nulls=nulls)
+        expected = max(ceil((s.n - s.nulls) * s.share(*ends)) for s in sides)
     else:
-        lo, width, hi = ranged[0].lo, ranged[0].hi - ranged[0].lo, ranged[-1].hi
-        k = F.col(key).cast("long")
-        at = F.when((k >= lo) & (k < hi), F.floor((k - F.lit(lo)) / F.lit(width)))
-    at = at.cast("int")
-    return at if nulls is None else F.when(F.col(key).isNull(), F.lit(nulls)).otherwise(at)
+        expected = max(s.n for s in sides)
+        if not keyed or rows is None or expected <= rows:
+            return Grid(whole=True)
+        ends = min(s.lo for s in keyed), max(s.hi for s in keyed)
+    parts = max(1, ceil(Fraction(expected, rows))) if rows else 1
+    return Grid(*ends, ceil(Fraction(ends[1] - ends[0] + 1, parts)), nulls)

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from . import operators as ops
 from .functions.equality import BaseComparator, matches
 from .operators.details import joined, right_name
-from .plans.compare import Comparison
+from .plans.compare import Comparison, compare
 from .plans.schema import align_schemas, normalize_schema
 from .plans.windows import key_stats_frame
+from .results import RowSummary
 from .settings import CompareSettings
+from .sources.shared import shared_path
 
 _ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 _ORDERS_R = """
@@ -122,11 +124,12 @@ class Case:
     def equal(self, c: str) -> str:
         return self.sql_rules.get(c, "l.{c} IS NOT DISTINCT FROM r.{c}").replace("{c}", c)
 
-    def sql_joined(self) -> str:
+    def sql_joined(self, values: bool = False) -> str:
         on = " AND ".join(f"l.{k} IS NOT DISTINCT FROM r.{k}" for k in self.keys)
         keys = ", ".join(f"CASE WHEN l.in_l THEN l.{k} ELSE r.{k} END AS {k}" for k in self.keys)
         same = " AND ".join(f"({self.equal(c)})" for c in self.columns) or "TRUE"
         flags = "".join(f", ({self.equal(c)}) AS m_{c}" for c in self.columns)
+        flags += "".join(f", l.{c} AS l_{c}, r.{c} AS r_{c}" for c in self.columns if values)
         return (
             f"WITH l AS (SELECT *, TRUE AS in_l FROM ({_duck(self.left)}) a), r AS (SELECT *, TRUE AS in_r FROM ({_duck(self.right)}) b), "
             f"j AS (SELECT {keys}, CASE WHEN r.in_r IS NULL THEN 2 WHEN l.in_l IS NULL THEN 3 WHEN {same} THEN 0 ELSE 1 END AS state{flags} "
@@ -293,23 +296,93 @@ def _csv(spark, sf_dir):
     from .sources import open_source
 
     left = side(spark, sf_dir, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
-    at = _scratch(spark)
+    at = shared_path(spark, "csv")
     left.write.option("header", True).csv(at)
     right = open_source(at, spark=spark)
     return ops.summary(ops.row_states(left.withColumns({c: F.col(c).cast("long") for c in ("o_orderkey", "o_custkey")}), right, ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]))
 
 
-def _scratch(spark) -> str:
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablewise-")
-    return f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex[:12]}"
+class Compared:
+    """A case that ``compare`` runs as a user does. Its result as rows of (part, name,
+    n, left_value, right_value): the row counts, the differences of each column, and
+    samples, named "column rank key"."""
+
+    def __init__(self, case: Case, samples: bool = True, **options):
+        self.case, self.samples, self.options = case, samples, options
+
+    def result(self, spark, sf_dir):
+        settings = CompareSettings(join_columns=self.case.keys, sample_count=3 if self.samples else 0, **self.options)
+        return compare(*self.case.sides(spark, sf_dir), settings)
+
+    def __call__(self, spark, sf_dir) -> DataFrame:
+        r = self.result(spark, sf_dir)
+        text = lambda v: None if v is None else str(v)
+        out = [("rows", name, getattr(r.rows, name), None, None) for name in RowSummary.model_fields if name != "mismatch_rate"]
+        out += [("column", c.column, c.mismatches, None, None) for c in r.column_stats]
+        for t in r.samples:
+            for i, (*key, a, b) in enumerate(t.rows, 1):
+                out.append(("sample", " ".join(map(str, [t.column, i, *key])), t.total_mismatches, text(a), text(b)))
+        return spark.createDataFrame(out, "part string, name string, n long, left_value string, right_value string")
+
+    def sql(self) -> str:
+        case, none = self.case, "CAST(NULL AS VARCHAR)"
+        rows = {"left_total": "0, 1, 2", "right_total": "0, 1, 3", "common": "0, 1", "left_only": "2", "right_only": "3", "mismatched": "1", "matched": "0"}
+        parts = [
+            f"SELECT 'rows' AS part, '{name}' AS name, count(*) FILTER (WHERE state IN ({kinds})) AS n, {none} AS left_value, {none} AS right_value FROM j"
+            for name, kinds in rows.items()
+        ]
+        parts += [f"SELECT 'column', '{c}', count(*), NULL, NULL FROM j WHERE state < 2 AND NOT m_{c} HAVING count(*) > 0" for c in case.columns]
+        if self.samples:
+            order = ", ".join(f"{k} NULLS FIRST" for k in case.keys)
+            key = ", ".join(f"coalesce(CAST({k} AS VARCHAR), 'None')" for k in case.keys)
+            parts += [
+                f"SELECT 'sample', concat_ws(' ', '{c}', place, {key}), n, l, r FROM (SELECT {', '.join(case.keys)}, row_number() OVER (ORDER BY {order}) AS place, "
+                f"count(*) OVER () AS n, CAST(l_{c} AS VARCHAR) AS l, CAST(r_{c} AS VARCHAR) AS r FROM j WHERE state < 2 AND NOT m_{c}) t WHERE place <= 3"
+                for c in case.columns
+            ]
+        return case.sql_joined(values=self.samples) + " UNION ALL ".join(parts)
+
+
+_SUPPLIERS = "SELECT s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey % 7 <> 0"
+_SUPPLIERS_R = """
+SELECT s_name, CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS s_nationkey, s_acctbal + 0.25 AS s_acctbal
+FROM supplier WHERE s_suppkey % 4 <> 0
+"""
+_BUYERS = "SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0"
+_BUYERS_R = "SELECT o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0"
+_WIDER = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+_WIDER_R = "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END AS n_name, CAST(n_regionkey + CASE WHEN n_nationkey = 9 THEN 1 ELSE 0 END AS BIGINT) AS n_regionkey FROM nation"
+SUPPLIERS = Case(_SUPPLIERS, _SUPPLIERS_R, ["s_name"], ["s_nationkey", "s_acctbal"])
+SUPPLIERS_NEAR = Case(_SUPPLIERS, _SUPPLIERS_R, ["s_name"], ["s_nationkey", "s_acctbal"], {"s_acctbal": _NEAR % (0.5, 0.0)})
+BUYERS = Case(_BUYERS, _BUYERS_R, ["o_custkey"], ["o_orderstatus", "o_orderpriority"])
+BUYERS_CASELESS = Case(_BUYERS, _BUYERS_R, ["o_custkey"], ["o_orderstatus", "o_orderpriority"], dict.fromkeys(("o_orderstatus", "o_orderpriority"), _CASELESS))
+
+#: Whole comparisons: both paths, all modes.
+COMPARED = {
+    "compare_orders": Compared(ORDERS),
+    "compare_lineitem": Compared(ITEMS),
+    "compare_lineitem_batches": Compared(ITEMS, columns_per_batch=2, window_rows=1000, cache_windows=True),
+    "compare_conversations": Compared(TALKS, samples=False),
+    "compare_null_keys": Compared(NULLKEY),
+    "compare_float_edges": Compared(EDGES, samples=False),
+    "compare_events_abs_tol": Compared(SUMMARIES["abs_tol_events"], samples=False, abs_tol={"value": 0.01}),
+    "compare_events_rel_tol": Compared(SUMMARIES["rel_tol_events"], samples=False, rel_tol={"value": 0.6}),
+    "compare_events_own_rule": Compared(SUMMARIES["custom_comparator_events"], samples=False, custom_comparators={"value": SameSign()}),
+    "compare_orders_ignore_case_spaces": Compared(SUMMARIES["ignore_case_spaces_orders"], ignore_case=True, ignore_spaces=True),
+    "compare_embeddings_any_order": Compared(SUMMARIES["array_unordered_embeddings"], samples=False),
+    "compare_common_keys": Compared(SHIFT, common_keys_only=True),
+    "compare_common_text_keys": Compared(SUPPLIERS, common_keys_only=True),
+    "compare_common_text_keys_tol": Compared(SUPPLIERS_NEAR, common_keys_only=True, abs_tol={"s_acctbal": 0.5}),
+    "compare_repeated_keys": Compared(BUYERS, samples=False, check_duplicate_keys=False),
+    "compare_repeated_keys_ignore_case": Compared(BUYERS_CASELESS, samples=False, check_duplicate_keys=False, ignore_case=True),
+    "compare_casting_right": Compared(Case(_WIDER, _WIDER_R, ["n_nationkey"], ["n_name", "n_regionkey"]), casting="right"),
+}
 
 
 def queries():
     out = {name: case.summary for name, case in SUMMARIES.items()}
     out |= {f"columns_{name}": case.counts for name, case in SUMMARIES.items() if name in ("abs_tol_events", "ignore_case_orders", "composite_conversations", "wide_exact_lineitem")}
+    out |= COMPARED
     return out | {
         "membership_orders": lambda s, d: ops.membership(*ORDERS.sides(s, d), ORDERS.keys),
         "row_states_orders": ORDERS.states,
@@ -335,6 +408,7 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     out = {name: case.sql_summary() for name, case in SUMMARIES.items()}
+    out |= {name: case.sql() for name, case in COMPARED.items()}
     out |= {name: SUMMARIES[name.removeprefix("columns_")].sql_counts() for name in queries() if name.startswith("columns_")}
     keyed = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"
     ranked = " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) FILTER (WHERE state < 2 AND NOT m_{c}) AS n, count(*) FILTER (WHERE state < 2) AS total FROM j" for c in _ORDER_COLUMNS)

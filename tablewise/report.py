@@ -69,14 +69,7 @@ def verdict(r: ComparisonResult) -> tuple[str, str, str]:
         return "error", "COMPARISON ABORTED", "The rows could not be compared."
     if r.is_match:
         return "ok", "IDENTICAL", "Same rows, same values and same columns."
-    found = {
-        f"{r.rows.mismatched:,} of {r.rows.common:,} common rows differ ({percent(r.rows.mismatch_rate)})": r.rows.mismatched,
-        f"{r.rows.left_only:,} rows only in {r.left_name}": r.rows.left_only,
-        f"{r.rows.right_only:,} rows only in {r.right_name}": r.rows.right_only,
-        "the columns differ": r.columns.left_only or r.columns.right_only,
-        f"{len(r.columns.type_mismatches)} columns have different types": r.columns.type_mismatches,
-    }
-    return "differs", "DIFFERENCES FOUND", "; ".join(k for k, v in found.items() if v) + "."
+    return "differs", "DIFFERENCES FOUND", "; ".join(r.differences()) + "."
 
 
 def sections(r: ComparisonResult, s: ReportSettings, everything: bool) -> list[Section]:

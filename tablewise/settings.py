@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-import math
 from pathlib import Path
-from typing import Literal
+from typing import Annotated, Literal
 
-from pydantic import BaseModel, ConfigDict, Field, field_validator, model_validator
+from pydantic import AfterValidator, BaseModel, ConfigDict, Field, StrictInt, model_validator
 
 from .functions.equality import BaseComparator
 
 #: Automatic windows hold about this many cells, and rows at least.
 AUTO_WINDOW_CELLS = 30_000_000
 AUTO_WINDOW_MIN_ROWS = 100_000
+#: Fixed value: kept inputs of more cells than this get a warning.
+CACHE_CELLS = 100_000_000
 
-Tolerance = float | dict[str, float]
+Amount = Annotated[float, Field(ge=0, allow_inf_nan=False)]
+Tolerance = Amount | dict[str, Amount]
 
 
-def tolerance_of(value: Tolerance, column: str) -> float:
-    return value.get(column, 0.0) if isinstance(value, dict) else value
+def _different(names: list[str]) -> list[str]:
+    folded = [n.lower() for n in names]
+    if twice := sorted({n for n in folded if folded.count(n) > 1}):
+        raise ValueError(f"columns named twice: {', '.join(twice)}")
+    return names
 
 
-def _any(value: Tolerance) -> bool:
-    return any(value.values()) if isinstance(value, dict) else value != 0.0
+def tolerance_of(value: Tolerance, column: str) -> float:
+    return value.get(column, 0.0) if isinstance(value, dict) else value
 
 
 class CompareSettings(BaseModel):
@@ -31,7 +36,7 @@ class CompareSettings(BaseModel):
     model_config = ConfigDict(extra="forbid", arbitrary_types_allowed=True)
 
     #: The key, at least one column.
-    join_columns: list[str] = Field(min_length=1)
+    join_columns: Annotated[list[Annotated[str, Field(pattern=r"\S")]], Field(min_length=1), AfterValidator(_different)]
     left_name: str = Field("left", min_length=1)
     right_name: str = Field("right", min_length=1)
     #: Column names are the same whatever their case.
@@ -53,42 +58,19 @@ class CompareSettings(BaseModel):
     #: Columns whose differences one aggregate counts.
     columns_per_batch: int = Field(50, gt=0)
     #: Key-range windows: planned and reported, while Spark deals out the rows.
-    window_rows: int | Literal["auto"] | None = "auto"
-    #: Keep both aligned inputs between the jobs (memory, then disk).
+    window_rows: Annotated[StrictInt, Field(gt=0)] | Literal["auto"] | None = "auto"
+    #: Keep both aligned inputs between the jobs (memory, then disk); "auto": no.
     cache_windows: bool | Literal["auto"] = "auto"
     #: Accepted for compatibility; Spark overlaps its tasks anyway.
     prefetch_windows: bool = False
     #: Compare only within the common range of the first key column.
     common_keys_only: bool = False
 
-    @field_validator("join_columns")
-    @classmethod
-    def _keys(cls, names: list[str]) -> list[str]:
-        if not all(n.strip() for n in names):
-            raise ValueError("join_columns must not hold blank names")
-        if len({n.lower() for n in names}) < len(names):
-            raise ValueError("join_columns must not repeat a column")
-        return names
-
-    @field_validator("abs_tol", "rel_tol")
-    @classmethod
-    def _tolerances(cls, value: Tolerance) -> Tolerance:
-        if not all(math.isfinite(x) and x >= 0 for x in (value.values() if isinstance(value, dict) else [value])):
-            raise ValueError("tolerances must be finite and at least 0")
-        return value
-
-    @field_validator("window_rows", mode="before")
-    @classmethod
-    def _windows(cls, value):
-        if isinstance(value, bool) or isinstance(value, int) and value < 1:
-            raise ValueError("window_rows must be a positive integer, 'auto' or None")
-        return value
-
     @model_validator(mode="after")
-    def _no_comparator_for_keys(self):
-        both = {self.name(c) for c in self.custom_comparators} & {self.name(c) for c in self.join_columns}
-        if both:
-            raise ValueError(f"custom_comparators must not name key columns: {sorted(both)}")
+    def _keys_are_plain(self):
+        for c in self.custom_comparators:
+            if self.name(c) in map(self.name, self.join_columns):
+                raise ValueError(f"'{c}' is a key column, and keys have no custom comparator")
         return self
 
     def name(self, column: str) -> str:
@@ -97,9 +79,13 @@ class CompareSettings(BaseModel):
     def tolerances(self, value: Tolerance) -> Tolerance:
         return {self.name(k): v for k, v in value.items()} if isinstance(value, dict) else value
 
+    def value_rules(self) -> list[str]:
+        """The options that are set and need values, not digests, to tell equality."""
+        given = {name: getattr(self, name) for name in ("abs_tol", "rel_tol", "ignore_spaces", "ignore_case", "custom_comparators")}
+        return [name for name, x in given.items() if (any(x.values()) if isinstance(x, dict) else x)]
+
     def uses_exact_hash(self) -> bool:
-        """Whether equality is exact on all columns, so that digests decide it."""
-        return not (_any(self.abs_tol) or _any(self.rel_tol) or self.ignore_spaces or self.ignore_case or self.custom_comparators)
+        return self.value_rules() == []
 
 
 class SourceOptions(BaseModel):

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tablewise import BaseComparator, CompareSettings, ReportSettings, compare
 from tablewise.functions.equality import matches
-from tablewise.plans.windows import KeyStats, Window, key_overlap, plan_windows, resolve_window_rows, rows_in_range
+from tablewise.plans.windows import Grid, KeyStats, grid, rows_per_part, shared_range
 
 MODES = [{}, {"window_rows": 3}, {"window_rows": None}, {"common_keys_only": True}, {"cache_windows": True}, {"cache_windows": False}]
 RULED = [{"abs_tol": 1e-12}, {"ignore_case": True, "common_keys_only": True}]
@@ -228,16 +228,56 @@ def test_matches_truth_table(spark, kind):
         assert got == [same(a, b) or near(a, b) for a, b in pairs]
 
 
-def test_planner():
+def test_planner(spark):
     a, b = KeyStats(100, 0, 0, 99), KeyStats(50, 2, 50, 149)
-    assert key_overlap(a, b) == (50, 99) and key_overlap(a, KeyStats(1, 0, 200, 201)) is None and key_overlap(a, KeyStats(1, 1, None, None)) is None
-    assert rows_in_range(a, 90, 200) == 10 and rows_in_range(KeyStats(3, 0, 0, 9), 0, 0) == 1 and rows_in_range(a, 300, 400) == 0
-    assert resolve_window_rows("auto", a, b, window_cells=1000, min_rows=10, n_cols=10) is None
-    assert resolve_window_rows("auto", a, b, window_cells=500, min_rows=10, n_cols=10) == 50 and resolve_window_rows(None, a, b, window_cells=1, min_rows=1) is None
-    assert plan_windows(a, b, None) == [Window(0)]
-    ws = plan_windows(a, b, 30)
-    assert ws[-1].null_keys and [w.lo for w in ws[:-1]] == [0, 38, 76, 114] and ws[-2].hi == 150
-    assert plan_windows(a, b, None, (50, 99)) == [Window(0, 50, 100), Window(1, null_keys=True)]
+    assert shared_range(a, b) == (50, 99) and shared_range(a, KeyStats(1, 0, 200, 201)) is None and shared_range(a, KeyStats(1, 1, None, None)) is None
+    assert a.share(90, 200) * 10 == 1 and KeyStats(3, 0, 0, 9).share(0, 0) * 10 == 1 and a.share(300, 400) == 0
+    assert rows_per_part("auto", 1000, 10, 10, a, b) is None and rows_per_part("auto", 500, 10, 10, a, b) == 50
+    assert rows_per_part(None, 1, 1, 1, a, b) is None and rows_per_part(7, 1, 1, 1, a, b) == 7
+    assert grid(None, a, b) == Grid(whole=True) and len(grid(None, a, b)) == 1 and grid(100, a, b).whole
+    g = grid(30, a, b)
+    assert (g.lo, g.hi, g.width, g.nulls, len(g)) == (0, 149, 38, True, 5)
+    assert grid(None, a, b, shared_only=True) == Grid(50, 99, 50, True) and len(grid(None, a, KeyStats(3, 0, 200, 201), shared_only=True)) == 0
+    ids = spark.createDataFrame([(k,) for k in (None, -1, 0, 37, 38, 149, 150)], "k long").select(g.id("k").alias("i"))
+    assert [r.i for r in ids.collect()] == [4, None, 0, 0, 1, 3, None]
+
+
+@pytest.mark.parametrize("options", [{}, {"ignore_case": True}, {"common_keys_only": True}, {"ignore_case": True, "common_keys_only": True}])
+def test_keys_of_any_type(spark, options):
+    keys = {"a array<int>": "array(1, 2)", "s struct<x:int,y:string>": "named_struct('x', 1, 'y', 'b')", "d double": "double('NaN')", "b binary": "X'0102'", "t string": "'k'"}
+    for name, value in keys.items():
+        k = name.split()[0]
+        make = lambda v: spark.sql(f"SELECT {value} {k}, {v} v UNION ALL SELECT NULL, 0 UNION ALL SELECT NULL, 0 WHERE false")  # noqa: B023, E731
+        r = run(make(1), make(2), [k], **options)
+        assert counts(r) == (2, 0, 0, 1) and [t[-2:] for t in r.samples[0].rows] == [[1, 2]]
+
+
+@pytest.mark.parametrize("options", [{}, {"abs_tol": 0.5}])
+def test_samples_of_a_key_with_many_pairs_are_bounded(spark, options, monkeypatch):
+    left = spark.range(300).select(F.lit(1).alias("id"), F.col("id").alias("a"), F.lit(0).alias("b"))
+    right = left.select("id", (F.col("a") + 1000).alias("a"), F.lit(1).alias("b"))
+    collected = []
+    whole = type(left).collect
+    monkeypatch.setattr(type(left), "collect", lambda self: collected.append(whole(self)) or collected[-1])
+    r = run(left, right, check_duplicate_keys=False, sample_count=4, **options)
+    assert counts(r) == (90_000, 0, 0, 90_000) and {c.column: c.mismatches for c in r.column_stats} == {"a": 90_000, "b": 90_000}
+    assert [len(t.rows) for t in r.samples] == [4, 4] and max(map(len, collected)) <= 8
+
+
+@pytest.mark.parametrize("options", [{}, {"ignore_case": True}])
+def test_common_keys_only_of_text_keys(df, options):
+    s = "k string, a string"
+    left, right = df(s, [("a", "x"), ("b", "y"), ("c", "z"), (None, "n")]), df(s, [("b", "y"), ("c", "w"), ("d", "v"), (None, "n")])
+    r = run(left, right, ["k"], common_keys_only=True, **options)
+    assert counts(r) == (3, 1, 1, 1) and r.samples[0].rows == [["c", "z", "w"]]
+
+
+def test_large_caches_are_warned_of(df, monkeypatch):
+    from tablewise.plans import compare as module
+
+    monkeypatch.setattr(module, "CACHE_CELLS", 3)
+    d = df("id long, a long", [(1, 1), (2, 2)])
+    assert any("cells" in w for w in run(d, d, cache_windows=True).warnings) and not run(d, d).warnings
 
 
 def test_settings_are_checked():
