@@ -1,0 +1,148 @@
+"""Registered queries on a small fixture against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from tokenizers import Tokenizer
+
+from tablewise.llm import bpe, packing, queries, textrules
+from tablewise.llm.common import table
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+TEXTS = [None, "", " \n\t", "one", "Two words", "a b c d e a b c d e\na b\na b\n", " " * 5_000 + "x", "word " * 9_000, "É ß 漢字 🙂 <|endoftext|> x\x1cy"]
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    """Documents of the smallest tables, odd ones, and copies; vectors and labels."""
+    at = tmp_path_factory.mktemp("sf")
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "source").limit(120).collect()]
+    rows += [(10_000 + i, t, "odd") for i, t in enumerate(TEXTS)] + [(20_000 + i, rows[i][1] + (" more" if i % 2 else ""), "copy") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{at}/documents.parquet")
+    labels = [(r[0], int((r[1] or "").count("#") + (r[1] or "").count("|") < 3)) for r in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    x = np.random.default_rng(3).normal(size=(500, 8)).astype(np.float32)
+    x[400:450] = x[7]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (520, [0.0] * 8)], "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    return str(at), {r[0]: r[1] for r in rows}, x
+
+
+def test_op3(spark, sf):
+    at, texts, _ = sf
+    rows = {r.doc_id: r for r in queries.op3_rules(spark, at).collect()}
+    assert rows.keys() == texts.keys()
+    for i, r in rows.items():
+        words = WORDS.findall(texts[i] or "")
+        grams = [tuple(words[j : j + 5]) for j in range(len(words) - 4)]
+        often = collections.Counter(grams)
+        repeated = {k for j, g in enumerate(grams) if often[g] > 1 for k in range(j, j + 5)}
+        seen, dup = set(), 0
+        for line in (texts[i] or "").split("\n"):
+            if WORDS.search(line):
+                dup += line in seen
+                seen.add(line)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", texts[i] or "")), dup, len(repeated))
+        assert r.base_failed == (len(words) < 10 or 100 * len(repeated) > 20 * len(words)) and not (r.base_failed and r.kept)
+    counted = textrules.statistics(table(spark, at, "documents").select("doc_id", "text"))
+    rules = textrules.learn(counted.filter(~textrules.base_failed()), table(spark, at, "labels"))
+    said = {r.doc_id: r.v for r in counted.select("doc_id", textrules.verdict(rules).alias("v")).collect()}
+    assert all(r.kept == (said[i] and not r.base_failed) for i, r in rows.items())
+
+
+def test_op4(spark, sf):
+    at, _, x = sf
+    got = collections.defaultdict(list)
+    for r in queries.op4_ann(spark, at).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    y, hits = x.astype(float), 0
+    assert sorted(got) == list(range(0, 500, 20))
+    for q, found in got.items():
+        score = (y * y[q]).sum(1)
+        want = [i for i in np.lexsort((np.arange(500), -score)) if i != q][:20]
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21)) and all(abs(f[2] - score[f[1]]) < 1e-12 for f in found)
+        hits += len(set(want) & {f[1] for f in found})
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_op6(spark, sf):
+    at, texts, _ = sf
+    whole, rows, by = Tokenizer.from_file(public_tokenizers.path(queries.WORD_FILE)), collections.defaultdict(list), collections.defaultdict(list)
+    for r in queries.op6_packing(spark, at).collect():
+        rows[r.doc_id].append(r)
+        by[r.sequence_id].append(r)
+    for i, text in texts.items():
+        ids, done = whole.encode(text or "", add_special_tokens=False).ids + [1], 0
+        for r in sorted(rows[i], key=lambda r: r.start):
+            assert r.start == done and r.doc_tokens == len(ids)
+            done += r.length
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : done], "<u4").tobytes())
+        assert done == len(ids)
+    padding = total = 0
+    for seq in by.values():
+        size = 0
+        for r in sorted(seq, key=lambda r: r.offset):
+            assert r.offset == size
+            size += r.length
+        assert 0 < size <= packing.WINDOW
+        padding, total = padding + (0 if size & (size - 1) == 0 else packing.WINDOW - size), total + size
+    assert padding < 0.01 * total
+
+
+def test_op8(spark, sf):
+    at, texts, _ = sf
+
+    def print_of(text):
+        words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        bits = np.unpackbits(np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return int(np.packbits(bits.sum(0) * 2 > len(grams), bitorder="little").view("<u8")[0]) if grams else 0
+
+    prints = {i: print_of(t) for i, t in texts.items()}
+    of = {i: i for i in prints}
+
+    def find(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i in prints:
+        for j in prints:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = sorted((find(i), find(j)))
+                of[b] = a
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op8_simhash(spark, at).collect()}
+    assert got == {i: (f"{prints[i]:016x}", find(i)) for i in prints}
+
+
+def test_op9(spark, sf):
+    at, texts, _ = sf
+    path = public_tokenizers.path(queries.BPE_FILE)
+    with open(path, "rb") as f:
+        own = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(f.read()), special_tokens={})
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op9_bpe(spark, at).collect()}
+    for i, text in texts.items():
+        ids = own.encode_ordinary(text or "")
+        assert got[i] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode()))
+    assert len(got) == len(texts)
+
+
+def test_op2_finds_what_was_planted(spark, tmp_path):
+    rng = random.Random(8)
+    docs = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "source").collect()]
+    clean = [(i, re.sub(r"[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*", "", t or ""), s) for i, t, s in docs]
+    keys = {i: "%040x" % rng.getrandbits(160) for i, _, _ in clean[::4]}
+    rows = [(i, f'{t}\nset token = "{keys[i]}" there' if i in keys else t, s) for i, t, s in clean]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.candidate) for r in queries.op2_secrets(spark, str(tmp_path)).filter("is_secret").collect()}
+    want = set(keys.items())
+    assert len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.02 * len(rows)
