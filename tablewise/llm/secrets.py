@@ -52,10 +52,10 @@ DEPTH = 6
 FINDINGS = 6_000
 THRESHOLD = 0.5
 #: A dictionary word is at least one in so many words, which bounds their number.
-WORD_SHARE = 50_000
+WORD_SHARE = 10_000
 #: Bits of the dictionary's bitmap, six in each byte; a word's hash sets those that
 #: its bits from these on tell.
-DICTIONARY_BITS = 1 << 20
+DICTIONARY_BITS = 1 << 17
 _FROM_BIT = (0, 32)
 #: Lengths that are added up at once.
 _BLOCK = 64
@@ -105,7 +105,7 @@ def _language(words: list[str], pairs: dict[str, int]) -> Language:
     for pair, n in pairs.items():
         counts[27 * place(pair[0]) + place(pair[1])] += n
     rows = [sum(counts[27 * i : 27 * i + 27]) for i in range(27)]
-    return Language(tuple(words[:300]), bytes(bitmap), tuple(math.log2(c / rows[i // 27]) for i, c in enumerate(counts)))
+    return Language(tuple(words[:300]), bytes(bitmap), tuple(round(math.log2(c / rows[i // 27]), 2) for i, c in enumerate(counts)))
 
 
 def plain_language() -> Language:
@@ -131,8 +131,8 @@ def language(docs: DataFrame, text_col: str = "text") -> Language:
 
 
 def _known(word: Column, bitmap: bytes) -> Column:
-    """Whether the dictionary's bitmap holds a word; of foreign ones it holds about
-    one in a hundred."""
+    """Whether the dictionary's bitmap holds a word; of foreign ones it holds a few
+    in a hundred."""
     out = F.lit(True)
     for bit in _FROM_BIT:
         at = F.shiftrightunsigned(F.xxhash64(word), bit).bitwiseAND(F.lit(DICTIONARY_BITS - 1)).cast("int")
