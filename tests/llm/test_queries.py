@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import random
 import re
 import zlib
 
@@ -13,7 +12,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from tablewise.llm import bpe, packing, queries, textrules
+from tablewise.llm import bpe, packing, queries
 from tablewise.llm.common import table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,28 +34,6 @@ def sf(spark, tmp_path_factory):
     return str(at), {r[0]: r[1] for r in rows}, x
 
 
-def test_op3(spark, sf):
-    at, texts, _ = sf
-    rows = {r.doc_id: r for r in queries.op3_rules(spark, at).collect()}
-    assert rows.keys() == texts.keys()
-    for i, r in rows.items():
-        words = WORDS.findall(texts[i] or "")
-        grams = [tuple(words[j : j + 5]) for j in range(len(words) - 4)]
-        often = collections.Counter(grams)
-        repeated = {k for j, g in enumerate(grams) if often[g] > 1 for k in range(j, j + 5)}
-        seen, dup = set(), 0
-        for line in (texts[i] or "").split("\n"):
-            if WORDS.search(line):
-                dup += line in seen
-                seen.add(line)
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", texts[i] or "")), dup, len(repeated))
-        assert r.base_failed == (len(words) < 10 or 100 * len(repeated) > 20 * len(words)) and not (r.base_failed and r.kept)
-    counted = textrules.statistics(table(spark, at, "documents").select("doc_id", "text"))
-    rules = textrules.learn(counted.filter(~textrules.base_failed()), table(spark, at, "labels"))
-    said = {r.doc_id: r.v for r in counted.select("doc_id", textrules.verdict(rules).alias("v")).collect()}
-    assert all(r.kept == (said[i] and not r.base_failed) for i, r in rows.items())
-
-
 def test_op4(spark, sf):
     at, _, x = sf
     got = collections.defaultdict(list)
@@ -134,15 +111,3 @@ def test_op9(spark, sf):
         ids = own.encode_ordinary(text or "")
         assert got[i] == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode()))
     assert len(got) == len(texts)
-
-
-def test_op2_finds_what_was_planted(spark, tmp_path):
-    rng = random.Random(8)
-    docs = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "source").collect()]
-    clean = [(i, re.sub(r"[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*", "", t or ""), s) for i, t, s in docs]
-    keys = {i: "%040x" % rng.getrandbits(160) for i, _, _ in clean[::4]}
-    rows = [(i, f'{t}\nset token = "{keys[i]}" there' if i in keys else t, s) for i, t, s in clean]
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {(r.doc_id, r.candidate) for r in queries.op2_secrets(spark, str(tmp_path)).filter("is_secret").collect()}
-    want = set(keys.items())
-    assert len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.02 * len(rows)
