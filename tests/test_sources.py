@@ -1,3 +1,5 @@
+import struct
+
 import pandas as pd
 import pytest
 
@@ -79,3 +81,55 @@ def test_sas_needs_readable_file(spark, tmp_path):
     with pytest.raises(Exception):
         open_source(tmp_path / "a.xpt", spark=spark).count()
     assert pd.__version__
+
+
+def _ibm(x):
+    """A number as the format's base-16 float; None is its missing value."""
+    if not x:
+        return b"." + bytes(7) if x is None else bytes(8)
+    m, e = abs(x), 64
+    while m >= 1:
+        m, e = m / 16, e + 1
+    while m < 1 / 16:
+        m, e = m * 16, e - 1
+    return bytes([e | (128 if x < 0 else 0)]) + int(m * 2**56).to_bytes(7, "big")
+
+
+def _write_xpt(path, names, rows, width=12):
+    """A SAS transport file (version 5); the types are those of the first row."""
+    texts = [isinstance(v, str) for v in rows[0]]
+    head = lambda kind, rest="0" * 30: f"HEADER RECORD*******{kind:<8}HEADER RECORD!!!!!!!{rest}  ".encode()
+    day = b"01JAN20:00:00:00"
+    fields, at = b"", 0
+    for i, (name, text) in enumerate(zip(names, texts)):
+        size = width if text else 8
+        fields += struct.pack(">hhhh8s40s8shhh2s8shhl52s", 2 if text else 1, 0, size, i + 1, name.encode().ljust(8), b" " * 40, b" " * 8, 0, 0, 0, b"", b" " * 8, 0, 0, at, b"")
+        at += size
+    body = b"".join(v.encode("latin-1").ljust(width) if text else _ibm(v) for row in rows for v, text in zip(row, texts))
+    padded = lambda b: b + b" " * (-len(b) % 80)
+    path.write_bytes(
+        head("LIBRARY") + b"SAS     SAS     SASLIB  6.06    any     ".ljust(64) + day + day.ljust(80)
+        + head("MEMBER", "000000000000000001600000000140") + head("DSCRPTR") + b"SAS     DATA    SASDATA 6.06    any     ".ljust(64) + day + day.ljust(80)
+        + head("NAMESTR", f"000000{len(names):04d}" + "0" * 20) + padded(fields) + head("OBS") + padded(body)
+    )
+
+
+def test_sas_files(spark, tmp_path):
+    one = [(1.0, "é first", -2.5), (2.0, "", None), (3.0, "third", 1e10)]
+    two = [(4.0, "fourth", 0.0), (5.0, "fifth", 0.1)]
+    _write_xpt(tmp_path / "a.xpt", ["ID", "NAME", "AMOUNT"], one)
+    _write_xpt(tmp_path / "b.xpt", ["ID", "NAME", "AMOUNT"], two)
+    df = open_source(tmp_path / "a.xpt", spark=spark)
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("ID", "double"), ("NAME", "string"), ("AMOUNT", "double")]
+    plain = lambda rows: [(i, t or None, None if x is None else pytest.approx(x, rel=1e-15)) for i, t, x in rows]
+    assert sorted(map(tuple, df.collect())) == plain(one)
+    for several in (tmp_path, f"{tmp_path}/*.xpt"):
+        assert sorted(map(tuple, open_source(several, spark=spark).collect())) == plain(one + two)
+    changed = tmp_path / "changed"
+    changed.mkdir()
+    _write_xpt(changed / "a.xpt", ["ID", "NAME", "AMOUNT"], [*one[:2], (3.0, "third", 7.0)])
+    result = compare(str(tmp_path / "a.xpt"), str(changed / "a.xpt"), CompareSettings(join_columns=["ID"]), spark=spark)
+    assert not result.is_match and [(c.column, c.mismatches) for c in result.column_stats if c.mismatches] == [("amount", 1)]  # names are lower-cased unless asked otherwise
+    _write_xpt(tmp_path / "c.xpt", ["ID", "OTHER", "AMOUNT"], two)
+    with pytest.raises(ValueError, match="other columns"):
+        open_source(tmp_path, spark=spark)
