@@ -11,10 +11,12 @@ from .membership import (
     outside_range,
     row_states,
     rule_states,
+    state_counts,
     summary,
 )
 
 __all__ = [
     "column_mismatches", "common_keys", "duplicate_keys", "duplicate_surplus", "flagged", "membership", "mismatch_samples",
-    "mismatched_keys", "only_left", "only_right", "outside_range", "row_states", "rule_states", "summary",
+    "mismatched_keys", "only_left", "only_right", "outside_range", "row_states", "rule_states",
+    "state_counts", "summary",
 ]

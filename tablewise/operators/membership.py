@@ -1,8 +1,8 @@
 """Rows by key: membership, states, duplicates.
 
-Keys meet null-safe. Where keys are unique, both sides are stacked and grouped by
-key: one shuffle of narrow rows, combined map-side, without sorting. Joins are
-used where pairs of repeated keys are asked for.
+Keys meet null-safe, and repeated ones count as joined pairs. Counts come from both
+sides stacked and grouped by key: one shuffle of narrow rows, without sorting, and no
+pair is made. Joins are used where a row for each pair, or its values, are asked for.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ def _side(df: DataFrame, keys: list[str], columns: list[str], side: int) -> Data
 
 
 def stacked(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row a key: rows of each side, and each side's digest (if unique)."""
+    """One row a key: rows of each side, and how many of their joined pairs have equal
+    digests. Digests are counted within their key, so no pair is made."""
     both = _side(left, keys, columns, 0).unionAll(_side(right, keys, columns, 1))
-    on = F.col("__side") == 0
-    return both.groupBy(*keys).agg(
-        F.count_if(on).alias("__nl"), F.count_if(~on).alias("__nr"),
-        F.max(F.when(on, F.col("__digest"))).alias("__hl"), F.max(F.when(~on, F.col("__digest"))).alias("__hr"),
-    )
+    on, pairs = F.col("__side") == 0, F.col("__nl") * F.col("__nr")
+    counts = F.count_if(on).alias("__nl"), F.count_if(~on).alias("__nr")
+    if not columns:
+        return both.groupBy(*keys).agg(*counts).withColumn("__same", pairs)
+    by_digest = both.repartition(*keys).groupBy(*keys, "__digest").agg(*counts)  # dealt by key: no other shuffle follows
+    return by_digest.groupBy(*keys).agg(F.sum("__nl").alias("__nl"), F.sum("__nr").alias("__nr"), F.sum(pairs).alias("__same"))
 
 
 def _state(has_left: Column, has_right: Column, equal: Column) -> Column:
@@ -42,12 +44,9 @@ def _state(has_left: Column, has_right: Column, equal: Column) -> Column:
     return state.cast("tinyint")
 
 
-def row_states(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], unique: bool = True) -> DataFrame:
+def row_states(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Keys with ``state``: 0 equal, 1 different, 2 left only, 3 right only, by the
-    digests of ``columns``. Without ``unique``, one row for each joined pair."""
-    if unique:
-        s = stacked(left, right, keys, columns)
-        return s.select(*keys, _state(F.col("__nl") > 0, F.col("__nr") > 0, F.col("__hl") == F.col("__hr")).alias("state"))
+    digests of ``columns``; one row for each joined pair and each row without one."""
     lhs = left.select(*keys, row_digest(columns).alias("__hl"), F.lit(True).alias("__l"))
     rhs = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], row_digest(columns).alias("__hr"), F.lit(True).alias("__r"))
     on = reduce(and_, [lhs[k].eqNullSafe(rhs[f"__r_{k}"]) for k in keys])
@@ -56,6 +55,15 @@ def row_states(left: DataFrame, right: DataFrame, keys: list[str], columns: list
     return lhs.join(rhs, on, "full").select(*[F.when(has_l, F.col(k)).otherwise(F.col(f"__r_{k}")).alias(k) for k in keys], state.alias("state"))
 
 
+def state_counts(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The rows of ``row_states``, equal ones once, with their number ``__n``."""
+    s = stacked(left, right, keys, columns)
+    nl, nr, same = F.col("__nl"), F.col("__nr"), F.col("__same")
+    numbers = {EQUAL: same, DIFFERENT: nl * nr - same, LEFT_ONLY: F.when(nr == 0, nl), RIGHT_ONLY: F.when(nl == 0, nr)}
+    cells = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("state"), n.alias("__n")) for k, n in numbers.items()])
+    return s.select(*keys, F.inline(cells)).filter("__n > 0")
+
+
 def rule_states(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], matches: dict[str, Column]) -> DataFrame:
     """As ``row_states``, with a match for each column over its left name and the
     right one, ``__r_<column>``."""
@@ -68,8 +76,9 @@ def rule_states(left: DataFrame, right: DataFrame, keys: list[str], columns: lis
 
 
 def summary(states: DataFrame) -> DataFrame:
-    """One row of counts from ``state``."""
-    n = lambda *kinds: F.count_if(F.col("state").isin(*kinds))
+    """One row of counts from ``state``; rows of ``state_counts`` stand for ``__n``."""
+    each = F.col("__n") if "__n" in states.columns else F.lit(1).cast("long")
+    n = lambda *kinds: F.coalesce(F.sum(F.when(F.col("state").isin(*kinds), each)), F.lit(0).cast("long"))
     return states.agg(
         n(EQUAL, DIFFERENT, LEFT_ONLY).alias("left_total"), n(EQUAL, DIFFERENT, RIGHT_ONLY).alias("right_total"),
         n(EQUAL, DIFFERENT).alias("common"), n(LEFT_ONLY).alias("left_only"), n(RIGHT_ONLY).alias("right_only"), n(DIFFERENT).alias("mismatched"),

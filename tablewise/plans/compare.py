@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..functions.equality import is_comparable, is_nested, matches
 from ..operators import column_mismatches
 from ..operators.details import differs, flagged, joined, right_name, sample_keys
-from ..operators.membership import row_states, same_key, stacked
+from ..operators.membership import same_key, stacked
 from ..results import ColumnStat, ColumnSummary, ComparisonResult, ExecutionInfo, RowSummary, SampleTable, TypeMismatch
 from ..settings import AUTO_WINDOW_CELLS, AUTO_WINDOW_MIN_ROWS, CACHE_CELLS, CompareSettings, SourceOptions, tolerance_of
 from ..sources import open_source
@@ -141,10 +141,10 @@ class Comparison:
         in the stage that writes the keys, whose tasks count once however often they
         are tried."""
         s = stacked(self.left, self.right, self.own_keys, self.own_columns if self.path == "hash" else [])
-        has_l, has_r, same = F.col("__nl") > 0, F.col("__nr") > 0, F.col("__hl") == F.col("__hr")
+        has_l, has_r, pairs = F.col("__nl") > 0, F.col("__nr") > 0, F.col("__nl") * F.col("__nr")
         k0 = F.col(self.own_keys[0])
         total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-        told = {"both": F.count_if(has_l & has_r), "differ": F.count_if(has_l & has_r & ~same)}
+        told = {"both": total(pairs), "differ": total(pairs - F.col("__same"))}  # repeated keys: joined pairs
         for name, own, n, other in (("l", has_l, F.col("__nl"), has_r), ("r", has_r, F.col("__nr"), has_l)):
             told |= {
                 f"only_{name}": total(F.when(~other, n)), f"surplus_{name}": total(F.greatest(n - 1, F.lit(0))),
@@ -155,7 +155,7 @@ class Comparison:
         counts = [c.alias(name) for name, c in told.items()]
         if not self.own_columns or not (self.settings.column_details if self.path == "hash" else self.settings.common_keys_only):
             return s.agg(*counts).first().asDict(), None
-        wanted = has_l & has_r & ~same if self.path == "hash" else has_l & has_r
+        wanted = pairs > F.col("__same") if self.path == "hash" else has_l & has_r
         seen, path = Observation("groups"), shared_path(s.sparkSession, "keys")
         keys = s.observe(seen, *counts).filter(wanted).select(*self.own_keys)
         self.written.append(path)
@@ -214,22 +214,12 @@ class Comparison:
         counts: dict[str, int] = {}
         samples: dict[str, list] = {}
         if self.path == "hash":
-            if any(repeated):  # unchecked: every joined pair counts
-                with self.timed("duplicates"):
-                    states = row_states(self.left, self.right, self.own_keys, self.own_columns, unique=False)
-                    by = {r.state: r["count"] for r in states.groupBy("state").count().collect()}
-                    both, differ = by.get(0, 0) + by.get(1, 0), by.get(1, 0)
-                    keys = states.filter("state = 1").select(*self.own_keys).distinct()
             if differ and s.column_details and self.own_columns:
                 with self.timed("details"):
                     differ, counts, samples = self._details(joined(self.left, self.right, self.own_keys, self.own_columns, keys))
-        else:
-            if any(repeated):
-                with self.timed("duplicates"):
-                    both = joined(self.left, self.right, self.own_keys, []).count()
-            if self.own_columns:
-                with self.timed("details"):
-                    differ, counts, samples = self._details(joined(self.left, self.right, self.own_keys, self.own_columns, keys))
+        elif self.own_columns:
+            with self.timed("details"):
+                differ, counts, samples = self._details(joined(self.left, self.right, self.own_keys, self.own_columns, keys))
         summary = RowSummary(
             left_total=both + g["only_l"], right_total=both + g["only_r"], common=both, left_only=g["only_l"], right_only=g["only_r"],
             mismatched=differ, matched=both - differ, mismatch_rate=differ / both if both else 0.0,
