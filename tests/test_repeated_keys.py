@@ -8,6 +8,7 @@ from tablewise import queries as own
 
 NAMES = [
     "row_states_orders",
+    "mismatched_keys_orders",
 ]
 
 
