@@ -87,7 +87,7 @@ def summary(states: DataFrame) -> DataFrame:
 
 def membership(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """One row: common, left_only, right_only."""
-    return summary(row_states(left, right, keys, [])).select("common", "left_only", "right_only")
+    return summary(state_counts(left, right, keys, [])).select("common", "left_only", "right_only")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ NAMES = [
     "row_states_orders",
     "mismatched_keys_orders",
     "exact_summary_orders",
+    "membership_orders",
 ]
 
 
