@@ -13,6 +13,7 @@ NAMES = [
     "membership_orders",
     "window_counts_orders",
     "compare_orders",
+    "compare_orders_ignore_case_spaces",
 ]
 
 
