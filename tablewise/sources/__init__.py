@@ -128,9 +128,22 @@ def _read(spark: SparkSession, fmt: str, files: list[str], options: SourceOption
     return reduce(DataFrame.union, frames)
 
 
+def _first_lines(spark: SparkSession, files: list[str], n: int) -> list[str]:
+    """A header and the ``n`` first lines below headers, from as many files as hold
+    them: the first may have no line but its header."""
+    out: list[str] = []
+    for f in files:
+        wanted = n + 1 - max(len(out) - 1, 0)  # its header and what lacks
+        lines = [r[0] for r in spark.read.text(f).limit(wanted).collect()]
+        out += lines[1:] if out else lines
+        if len(out) > n:
+            break
+    return out
+
+
 def _read_csv(spark: SparkSession, files: list[str], options: SourceOptions) -> DataFrame:
-    """Types come from the first lines of the first file; whole numbers are longs,
-    and dates and times stay text. Values that don't fit fail."""
+    """Types come from the first lines; whole numbers are longs, and dates and times
+    stay text. Values that don't fit fail."""
     read = spark.read.option("header", True).option("sep", options.csv_separator)
     n = options.csv_infer_schema_length
     if n is None:
@@ -138,8 +151,7 @@ def _read_csv(spark: SparkSession, files: list[str], options: SourceOptions) ->
     elif n == 0:
         told = T.StructType([T.StructField(f.name, T.StringType()) for f in read.csv(files[0]).schema])
     else:
-        lines = [r[0] for r in spark.read.text(files[0]).limit(n + 1).collect()]  # n + 1 lines
-        told = read.option("inferSchema", True).csv(spark.sparkContext.parallelize(lines, 1)).schema
+        told = read.option("inferSchema", True).csv(spark.sparkContext.parallelize(_first_lines(spark, files, n), 1)).schema
 
     def wider(t: T.DataType) -> T.DataType:
         if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)):
